@@ -55,9 +55,10 @@ JOINT_SCHEMES = {
 DEGREE_LIMITS = ((-110.0, 110.0), (-100.0, 100.0), (-100.0, 90.0), (-95.0, 95.0), (-160.0, 160.0), (-10.0, 100.0))
 NORMAL_LIMITS = ((-100.0, 100.0), (-100.0, 100.0), (-100.0, 100.0), (-100.0, 100.0), (-100.0, 100.0), (0.0, 100.0))
 
-# Smoothing presets as (alpha, executed steps, largest change per step).
-SMOOTHING_PRESETS = {"light": (0.7, 10.0), "medium": (0.4, 5.0), "heavy": (0.2, 3.0)}
-PRESET_SLEEP = {"light": 0.03, "medium": 0.05, "heavy": 0.08}
+# Smoothing presets as (alpha, largest change per step, seconds between steps).
+SMOOTHING_PRESETS = {"light": (0.7, 10.0, 0.03), "medium": (0.4, 5.0, 0.05), "heavy": (0.2, 3.0, 0.08)}
+SMOOTHING_ALPHA = 0.3
+SMOOTHING_MAX_DELTA = 5.0
 
 # Modality slices of the single-arm vectors.
 MODALITY = {"single_arm": (0, 5), "gripper": (5, 6)}

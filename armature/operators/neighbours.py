@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from armature.functions import poses as P
 from armature.functions import vectors as V
-from armature.functions.draws import Draw, integer, keyed
+from armature.functions.draws import Draw, keyed
 from armature.plans.blocks import position
 from armature.plans.lookups import lookup_join
 
@@ -87,11 +87,12 @@ def choose_segments(
         counted = near.withColumn("_k", F.count(F.lit(1)).over(window))
         pick = F.floor(draw("choice") * F.col("_k")) + 1
         return counted.filter(F.col("rank") == pick).select(scene_id, on, segment_id)
-    numbered = position(segs.select(on, segment_id), [on], [segment_id], None, "_number")
+    code = F.xxhash64(segment_id)
+    numbered = position(segs.select(on, segment_id), [on], [code, segment_id], F.shiftright(code, 54), "_number")
     sizes = segs.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
     asked = lookup_join(scenes.select(scene_id, on), sizes, [on], "inner")
-    numbered_scenes = asked.withColumn("_number", integer(draw, "choice", 0, 0) + F.floor(draw("choice") * F.col("_n")))
-    return lookup_join(numbered_scenes, numbered, [on, "_number"], "inner").select(scene_id, on, segment_id)
+    drawn = asked.withColumn("_number", F.floor(draw("choice") * F.col("_n")).cast("long"))
+    return lookup_join(drawn, numbered, [on, "_number"], "inner").select(scene_id, on, segment_id)
 
 
 def _rank(df: DataFrame, k: int, weights: tuple[float, float], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from armature.catalog import row_queries, window_queries  # noqa: F401
+from armature.catalog.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

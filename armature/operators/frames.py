@@ -214,8 +214,10 @@ def skip_first(df: DataFrame, n: int = SKIPPED_FRAMES, pos: str = POS, fps: int
     return add_timestamp(kept, fps, pos) if fps and "timestamp" in df.columns else kept
 
 
-def episode_slice(df: DataFrame, episode: int, start: int = 0, pos: str = POS) -> DataFrame:
-    return df.filter((F.col("episode_index") == episode) & (F.col(pos) >= start))
+def episode_slice(df: DataFrame, episode: int | None = None, start: int = 0, pos: str = POS) -> DataFrame:
+    """One episode, or all, from a start frame; the filters reach partition pruning and the scan."""
+    kept = df if episode is None else df.filter(F.col("episode_index") == episode)
+    return kept.filter(F.col(pos) >= start)
 
 
 def episode_sampler(

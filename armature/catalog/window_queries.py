@@ -168,19 +168,19 @@ def frames_in_segments(fx):
 
 
 RENUMBERED = f"""{Q.FRAMES},
-k AS (SELECT * FROM fx WHERE episode_index % 4 <> 0 AND event_id % 3 <> 1),
+k AS (SELECT * FROM fx WHERE a0 > 150),
 d AS (SELECT *, dense_rank() OVER (PARTITION BY dataset ORDER BY episode_index) - 1 AS new_episode,
       row_number() {OVER}) - 1 AS new_frame,
       row_number() OVER (PARTITION BY dataset ORDER BY episode_index, frame_index) - 1 AS index FROM k)"""
 
 
 def _thinned(fx):
-    return fx.frames().filter((F.col("episode_index") % 4 != 0) & (F.col("event_id") % 3 != 1))
+    return fx.frames().filter(F.get("action", F.lit(0)) > 150)
 
 
 @query("renumber", f"WITH {RENUMBERED} SELECT dataset, new_episode AS episode_index, new_frame AS frame_index, index, event_id FROM d")
 def renumber(fx):
-    """Failed episodes and dropped frames leave gaps; the numbering closes them."""
+    """Frames over a threshold are kept: episodes and frames go missing, the numbering closes the gaps."""
     return W.renumber(_thinned(fx), rows=fx.rows).select(*FRAME, "index", "event_id")
 
 
@@ -195,12 +195,12 @@ def renumber_blocked(fx):
 
 @query(
     "frame_gaps",
-    f"""WITH {Q.FRAMES}, k AS (SELECT *, frame_index / 30.0::DOUBLE AS sec FROM fx WHERE event_id % 7 <> 3),
+    f"""WITH {Q.FRAMES}, k AS (SELECT *, frame_index / 30.0::DOUBLE AS sec FROM fx WHERE a0 > 5),
     s AS (SELECT *, sec - lag(sec) {OVER}) AS step FROM k)
     SELECT {Q.EPISODE}, {sql_r6("step", "step_seconds")} FROM s WHERE abs(step - 1.0::DOUBLE / 30) > 1e-4""",
 )
 def frame_gaps(fx):
-    holes = fx.frames().filter(F.col("event_id") % 7 != 3)
+    holes = fx.frames().filter(F.get("action", F.lit(0)) > 5)
     return W.frame_gaps(holes, longest=fx.longest).select(*FRAME, r6("step_seconds").alias("step_seconds"))
 
 
@@ -420,22 +420,23 @@ def tracking_error(fx):
 
 @query(
     "asof_tracking",
-    """WITH e AS (SELECT user_id % 8 AS robot, epoch_us(ts) AS at_us, event_id, value FROM events),
-    c AS (SELECT robot, at_us, max(value) AS value FROM e WHERE event_id % 4 = 0 GROUP BY robot, at_us),
-    a AS (SELECT robot, at_us, event_id, value FROM e WHERE event_id % 4 <> 0)
+    """WITH e AS (SELECT user_id % 8 AS robot, epoch_us(ts) AS at_us, event_id, event_type, value FROM events),
+    c AS (SELECT robot, at_us, max(value) AS value FROM e WHERE event_type = 'click' GROUP BY robot, at_us),
+    a AS (SELECT robot, at_us, event_id, value FROM e WHERE event_type <> 'click')
     SELECT a.robot, a.event_id, a.at_us, a.value, c.value AS commanded FROM a ASOF LEFT JOIN c ON a.robot = c.robot AND a.at_us >= c.at_us""",
 )
 def asof_tracking(fx):
-    """Every fourth event is a command; the others look up the newest command of their robot."""
+    """Clicks are commands; the other events look up the newest command of their robot."""
     events = fx.table("events").select(
         (F.col("user_id") % 8).alias("robot"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
         "event_id",
+        "event_type",
         "value",
     )
-    is_command = F.col("event_id") % 4 == 0
+    is_command = F.col("event_type") == "click"
     commands = events.filter(is_command).groupBy("robot", "at_us").agg(F.max("value").alias("value"))
-    return A.asof_tracking(commands, events.filter(~is_command), ["robot"], "at_us", "value", 86_400_000_000)
+    return A.asof_tracking(commands, events.filter(~is_command).drop("event_type"), ["robot"], "at_us", "value", 86_400_000_000)
 
 
 @query(

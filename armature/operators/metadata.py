@@ -180,7 +180,7 @@ def modality_document(rows: DataFrame, keys: Sequence[str] = ("dataset",)) -> Da
     named = rows.groupBy(*keys, "kind").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", entry.alias("slice"))))).alias("_names")
     )
-    whole = F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "_names"))))
+    whole = F.map_from_entries(F.collect_list(F.struct("kind", "_names")))
     return named.groupBy(*keys).agg(F.to_json(whole).alias("modality"))
 
 

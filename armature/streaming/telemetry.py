@@ -27,7 +27,7 @@ def read_telemetry(
     path: str,
     schema: T.StructType,
     late: str = LATE,
-    files_per_trigger: int = 64,
+    files_per_trigger: int = 8,
     event_time: str = "ts",
     glob: str | None = None,
 ) -> DataFrame:
@@ -209,12 +209,36 @@ def record_stream(telemetry: DataFrame, order_id: str) -> DataFrame:
     )
 
 
-def first_grasps(telemetry: DataFrame, signal: Column, by: Sequence[str] = ("robot",), within: str = "30 days") -> DataFrame:
-    """One event per key when the signal is first seen: the rows where it holds, deduplicated
-    by key with the watermark bounding the state."""
-    held = telemetry.filter(signal)
-    return held.dropDuplicatesWithinWatermark(list(by)) if telemetry.isStreaming else held.groupBy(*by).agg(
-        F.min("ts").alias("ts")
+class FirstSeen(StatefulProcessor):
+    """Emits the earliest row of a key in the micro-batch that first holds one, then nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        firsts = [b.nsmallest(1, ["order_ts", "order_id"]) for b in rows]
+        first = pd.concat(firsts).nsmallest(1, ["order_ts", "order_id"])
+        self.seen.update((True,))
+        yield pd.DataFrame(
+            {"key": [key[0]], "order_ts": first["order_ts"].to_numpy(), "order_id": first["order_id"].to_numpy()}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def first_grasps(telemetry: DataFrame, signal: Column, key: str, order_id: str) -> DataFrame:
+    """One event per key when its signal is first true. Only rows with the signal reach the state."""
+    held = telemetry.filter(signal).select(
+        F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id")
+    )
+    if not telemetry.isStreaming:
+        first = held.groupBy("key").agg(F.min(F.struct("order_ts", "order_id")).alias("_first"))
+        return first.select("key", "_first.*")
+    return held.groupBy("key").transformWithStateInPandas(
+        FirstSeen(), "key string, order_ts long, order_id long", outputMode="append", timeMode="None"
     )
 
 
@@ -249,6 +273,14 @@ def flush_blocks(df: DataFrame, every: int = 100, pos: str = "t") -> DataFrame:
     return df.withColumn("flush_block", F.floor(F.col(pos) / every).cast("long"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state of the processors above lives in RocksDB on the executors, not on their heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def write_stream(
     df: DataFrame,
     path: str,

@@ -11,6 +11,7 @@ from armature.operators import augment as G
 from armature.operators import episodes as W
 from armature.operators import frames as R
 from armature.operators import neighbours as N
+from armature.plans.lookups import settled
 
 STEPS = (
     W.Subtask("bread_slice_1", "grasp", (10, 20), "nearest_neighbor_object", 3, 0.002, 8, 0),
@@ -232,7 +233,7 @@ def _tables(fx):
 
 def _warped(fx):
     frames, objects, segs = _tables(fx)
-    pool = G.segment_pool(frames, objects, segs)
+    pool = settled(G.segment_pool(frames, objects, segs), "segment-pool")
     names = F.create_map(F.lit("bread_slice_1"), F.lit(0), F.lit("plate"), F.lit(1))
     base = objects.filter("t = 0").select(
         "demo", F.try_element_at(names, F.col("object")).alias("subtask"), F.col("object").alias("object_ref"),
@@ -241,6 +242,7 @@ def _warped(fx):
     scenes = G.new_scenes(base, 3, draw=md5_draw(7, "demo", "subtask", "copy")).withColumn(
         "scene", F.concat_ws("/", F.col("demo").cast("string"), F.col("copy").cast("string"))
     )
+    scenes = settled(scenes, "scenes")
     starts = pool.filter("step = 0").select("object_ref", F.col("demo").alias("segment"), "object_pose")
     chosen = N.choose_segments(
         scenes, starts, 3, "nearest_neighbor_object", draw=_choice_draw(), scene_id="scene", segment_id="segment"

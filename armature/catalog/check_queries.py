@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from armature.catalog import base as Q
 from armature.catalog.base import query, r3, r6, spread, sql_r3, sql_r6
+from armature.fixtures import literal_rows
 from armature.functions import vectors as V
 from armature.operators import episodes as W
 from armature.operators import frames as P
@@ -508,7 +509,7 @@ TASKS_B = ((0, "Pick up the patty"), (1, "Wipe the plate"), (2, "Pick up the bre
 def _parts(fx):
     both = fx.two_datasets().drop("ts", "timestamp")
     frames = [both.filter(F.col("dataset") == d) for d in ("A", "B")]
-    tasks = [fx.spark.createDataFrame(t, "task_index long, task string") for t in (TASKS_A, TASKS_B)]
+    tasks = [literal_rows(fx.spark, ("task_index", "task"), t).withColumn("task_index", F.col("task_index").cast("long")) for t in (TASKS_A, TASKS_B)]
     return frames, tasks
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from armature.catalog import base as Q
 from armature.catalog.base import query, r6, spread, sql_r6
+from armature.fixtures import literal_rows
 from armature.functions import vectors as V
 from armature.operators import frames as P
 from armature.operators import quality as A
@@ -104,8 +105,8 @@ def _calibration(fx):
         ("wrist_roll", 5, 1, 7, 0, 4095),
         ("gripper", 6, 0, 3, 1500, 2700),
     ]
-    names = "joint string, id int, drive_mode int, homing_offset int, range_min int, range_max int"
-    return fx.spark.createDataFrame(rows, names).withColumn("robot", F.lit("events"))
+    names = ("joint", "id", "drive_mode", "homing_offset", "range_min", "range_max")
+    return literal_rows(fx.spark, names, rows).withColumn("robot", F.lit("events"))
 
 
 @query(

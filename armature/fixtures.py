@@ -23,6 +23,12 @@ TASK_TEXTS = (
 )
 
 
+def literal_rows(spark: SparkSession, names: tuple[str, ...], rows: tuple[tuple, ...]) -> DataFrame:
+    """A few constant rows as a local relation, without Python tasks."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 class Fixtures:
     """Tables below one scale-factor folder."""
 
@@ -75,9 +81,8 @@ class Fixtures:
         )
 
     def tasks(self) -> DataFrame:
-        return self.spark.createDataFrame(TASK_TEXTS, "task_index long, task string").select(
-            F.lit("events").alias("dataset"), "task_index", "task"
-        )
+        rows = literal_rows(self.spark, ("task_index", "task"), TASK_TEXTS)
+        return rows.select(F.lit("events").alias("dataset"), F.col("task_index").cast("long"), "task")
 
     def two_datasets(self) -> DataFrame:
         """Even users are dataset A, odd ones B; episodes numbered from 0 in each."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armature.functions import vectors as V
 from armature.functions.poses import relative
 from armature.plans.blocks import BLOCK, attach
-from armature.plans.lookups import lookup_join
+from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     CHUNK_EPISODES,
     DEFAULT_TASK,
@@ -141,7 +141,7 @@ def normalize_minmax(
     extremes = _extremes(stats, col, dim, by)
     scale = V.denormalize if inverse else V.normalize
     if by:
-        ranged = lookup_join(df, extremes, by, "left")
+        ranged = lookup_join(df, settled(extremes, "ranges"), by, "left")
     else:
         ranged = df.withColumn("_range", extremes.scalar())
     lows, highs = V.lanes("_range.low", dim), V.lanes("_range.high", dim)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armature.plans.blocks import BLOCK, Fold, running
-from armature.plans.lookups import lookup_join
+from armature.plans.lookups import lookup_join, settled
 from armature.schema import POS
 
 
@@ -31,7 +31,7 @@ def merge_frames(parts: Sequence[DataFrame], dictionary: DataFrame, name: str =
         episodes = episodes + totals.select("e").scalar()
         frames = frames + totals.select("f").scalar()
     together = reduce(DataFrame.unionByName, merged)
-    new = dictionary.select("source", "task_index", F.col("new_index").alias("_new"))
+    new = settled(dictionary.select("source", "task_index", F.col("new_index").alias("_new")), "task-dictionary")
     joined = lookup_join(together, new, ["source", "task_index"], "left", spread=["episode_index", POS])
     return joined.withColumn("task_index", F.col("_new")).drop("_new", "source")
 

@@ -52,89 +52,107 @@ def patch_info(docs: DataFrame, doc: str = "info", keys: Sequence[str] = ("datas
     come from a shape of three or more, unless `video_shape` is off; two fields of version
     3.0 are dropped. A video feature without an info object gets one.
     """
-    top = _object(F.parse_json(F.col(doc)))
-    features = F.transform_values(_object(_field(F.col("_top"), "features")), lambda _, v: _object(v))
-    rows = docs.withColumn("_top", top).withColumn("_features", features)
+    no_fields = F.create_map().cast(VARIANTS)
+    no_features = F.create_map().cast(f"map<string,{VARIANTS}>")
     t = F.col("_top")
-    is_video = lambda f: F.coalesce(_text(_field(f, "dtype")) == "video", F.lit(False))
-    info_of = lambda f: F.coalesce(_object(_field(f, "info")), F.create_map().cast(VARIANTS))
-    shape_of = lambda f: F.coalesce(F.try_variant_get(_field(f, "shape"), "$", "array<variant>"), F.array().cast("array<variant>"))
-
-    videos = F.size(F.map_filter(F.coalesce(F.col("_features"), F.create_map().cast("map<string,map<string,variant>>")), lambda _, f: is_video(f)))
-    episodes = F.coalesce(F.try_variant_get(_field(t, "total_episodes"), "$", "bigint"), F.lit(0))
-    rows = rows.withColumn("_total_videos", (episodes * videos).cast("string"))
-
-    old_version = _text(_field(t, "codebase_version"))
-    old_path = _text(_field(t, "video_path"))
     has = lambda k: F.map_contains_key(t, k)
-    on = lambda c: F.coalesce(c, F.lit(False))
-    sizes = ("height", "width", "channels") if video_shape else ()
-
-    def edits(f: Column) -> list[tuple[str, Column, Column, Column, Column]]:
-        """(field, condition, old text, new text, new value) for one video feature."""
-        info, shape = info_of(f), shape_of(f)
-        found = [("video.codec", on(_text(_field(info, "video.codec")) == "h264"), F.lit("h264"), F.lit("avc1"), _json('"avc1"'))]
-        for i, name in enumerate(sizes):
-            value = F.get(shape, F.lit(i))
-            missing = (F.size(shape) >= 3) & ~F.map_contains_key(info, f"video.{name}")
-            found.append((f"video.{name}", missing, F.lit("missing"), F.to_json(value), value))
-        return found
-
-    def new_feature(f: Column) -> Column:
-        todo = edits(f)
-        some = F.array_contains(F.array(*[c for _, c, _, _, _ in todo]), True)
-        info = F.to_variant_object(_with(info_of(f), [(k, c, v) for k, c, _, _, v in todo]))
-        return F.when(is_video(f) & some, _with(f, [("info", F.lit(True), info)])).otherwise(f)
-
-    def log(fields) -> Column:
-        every = F.array(
-            *[F.struct(F.lit(k).alias("field"), o.alias("old"), n.alias("new"), c.alias("_c")) for k, c, o, n in fields]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def video(e: Column) -> Column:
+        """Key, fields, info and shape of one feature entry."""
+        shape = F.try_variant_get(_field(e["value"], "shape"), "$", "array<variant>")
+        return F.struct(
+            e["key"].alias("key"),
+            e["value"].alias("fields"),
+            F.coalesce(_object(_field(e["value"], "info")), no_fields).alias("info"),
+            F.coalesce(shape, F.array().cast("array<variant>")).alias("shape"),
         )
-        return _entries(every)
 
-    def _entries(every: Column) -> Column:
-        return F.transform(
-            F.filter(every, lambda e: e["_c"]), lambda e: F.struct(e["field"], e["old"], e["new"])
-        )
+    def edits(v: Column) -> Column:
+        """The same feature with its changes: (field, old, new, value)."""
+        coded = yes(_text(_field(v["info"], "video.codec")) == "h264")
+        found = [F.when(coded, _change("video.codec", F.lit("h264"), F.lit("avc1"), _json('"avc1"')))]
+        for i, name in enumerate(("height", "width", "channels") if video_shape else ()):
+            value = F.get(v["shape"], F.lit(i))
+            missing = (F.size(v["shape"]) >= 3) & ~F.map_contains_key(v["info"], f"video.{name}")
+            found.append(F.when(missing, _change(f"video.{name}", F.lit("missing"), F.to_json(value), value)))
+        return F.struct(v["key"], v["fields"], v["info"], F.array_compact(F.array(*found)).alias("edits"))
+
+    def edited(v: Column) -> Column:
+        """Feature entry with its info object rewritten."""
+        changed = F.map_from_entries(F.transform(v["edits"], lambda e: F.struct(e["field"], e["value"])))
+        info = F.map_concat(F.map_filter(v["info"], lambda k, _: ~F.map_contains_key(changed, k)), changed)
+        kept = F.map_filter(v["fields"], lambda k, _: k != "info")
+        return F.struct(v["key"], F.map_concat(kept, F.create_map(F.lit("info"), F.to_variant_object(info))))
+
+    is_video = lambda e: yes(_text(_field(e["value"], "dtype")) == "video")
+    parsed = docs.withColumn("_top", _object(F.parse_json(F.col(doc))))
+    features = F.transform_values(_object(_field(t, "features")), lambda _, v: _object(v))
+    listed = parsed.withColumn("_features", F.coalesce(features, no_features)).withColumn(
+        "_videos", F.transform(F.filter(F.map_entries("_features"), is_video), video)
+    )
+    episodes = F.coalesce(F.try_variant_get(_field(t, "total_episodes"), "$", "bigint"), F.lit(0))
+    rows = listed.withColumns(
+        {"_edits": F.transform("_videos", edits), "_total_videos": (episodes * F.size("_videos")).cast("string")}
+    )
 
-    top_log = [
-        ("codebase_version", on(old_version == V3), F.lit(V3), F.lit(V21)),
-        ("video_path", on(old_path == CAMERA_FIRST_PATH), F.lit("v3.0 format"), F.lit("v2.1 format")),
-        ("total_videos", ~has("total_videos"), F.lit("missing"), F.col("_total_videos")),
-        ("total_chunks", ~has("total_chunks"), F.lit("missing"), F.lit("1")),
-    ]
-    video_features = F.filter(F.map_entries("_features"), lambda e: is_video(e["value"]))
-    feature_log = F.flatten(
-        F.transform(
-            video_features,
-            lambda e: _entries(
-                F.array(
-                    *[
-                        F.struct(F.concat(e["key"], F.lit(f".{k}")).alias("field"), o.alias("old"), n.alias("new"), c.alias("_c"))
-                        for k, c, o, n, _ in edits(e["value"])
-                    ]
-                )
+    path_matches = yes(_text(_field(t, "video_path")) == CAMERA_FIRST_PATH)
+    tops = F.array_compact(
+        F.array(
+            F.when(
+                yes(_text(_field(t, "codebase_version")) == V3),
+                _change("codebase_version", F.lit(V3), F.lit(V21), _json(f'"{V21}"')),
             ),
+            F.when(
+                path_matches,
+                _change("video_path", F.lit("v3.0 format"), F.lit("v2.1 format"), _json(f'"{CHUNK_FIRST_PATH}"')),
+            ),
+            F.when(
+                ~has("total_videos"),
+                _change("total_videos", F.lit("missing"), F.col("_total_videos"), F.parse_json("_total_videos")),
+            ),
+            F.when(~has("total_chunks"), _change("total_chunks", F.lit("missing"), F.lit("1"), _json("1"))),
         )
     )
-    dropped_log = log([(k, has(k), F.lit("present"), F.lit("removed")) for k in V3_ONLY_FIELDS])
-    empty = F.array().cast("array<struct<field:string,old:string,new:string>>")
-    new_features = F.to_variant_object(F.transform_values("_features", lambda _, f: new_feature(f)))
-    new_top = _with(
-        F.map_filter(t, lambda k, _: ~k.isin(*V3_ONLY_FIELDS)),
-        [
-            ("codebase_version", top_log[0][1], _json(f'"{V21}"')),
-            ("video_path", top_log[1][1], _json(f'"{CHUNK_FIRST_PATH}"')),
-            ("total_videos", top_log[2][1], F.parse_json("_total_videos")),
-            ("total_chunks", top_log[3][1], _json("1")),
-            ("features", F.col("_features").isNotNull(), new_features),
-        ],
+    dropped = F.array_compact(
+        F.array(*[F.when(has(k), _logged(F.lit(k), F.lit("present"), F.lit("removed"))) for k in V3_ONLY_FIELDS])
+    )
+    touched = F.filter("_edits", lambda v: F.size(v["edits"]) > 0)
+    log = F.concat(
+        F.transform("_tops", lambda e: _logged(e["field"], e["old"], e["new"])),
+        F.flatten(
+            F.transform(
+                "_edits",
+                lambda v: F.transform(
+                    v["edits"], lambda e: _logged(F.concat(v["key"], F.lit("."), e["field"]), e["old"], e["new"])
+                ),
+            )
+        ),
+        dropped,
     )
-    return rows.select(
-        *keys,
-        F.concat(log(top_log), F.coalesce(feature_log, empty), dropped_log).alias("changes"),
-        F.to_json(F.to_variant_object(new_top)).alias(doc),
+    new_features = F.map_concat(
+        F.map_filter("_features", lambda k, _: ~F.array_contains(F.transform("_touched", lambda v: v["key"]), k)),
+        F.map_from_entries(F.transform("_touched", edited)),
     )
+    top_changes = F.map_from_entries(F.transform("_tops", lambda e: F.struct(e["field"], e["value"])))
+    all_changes = F.when(
+        has("features"),
+        F.map_concat(top_changes, F.create_map(F.lit("features"), F.to_variant_object(new_features))),
+    ).otherwise(top_changes)
+    kept = F.map_filter(t, lambda k, _: ~k.isin(*V3_ONLY_FIELDS) & ~F.map_contains_key(F.col("_changes"), k))
+    return (
+        rows.withColumns({"_tops": tops, "_touched": touched})
+        .withColumns({"_changes": all_changes, "changes": log})
+        .select(*keys, "changes", F.to_json(F.to_variant_object(F.map_concat(kept, "_changes"))).alias(doc))
+    )
+
+
+def _change(field: str, old: Column, new: Column, value: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), old.alias("old"), new.alias("new"), value.alias("value"))
+
+
+def _logged(field: Column, old: Column, new: Column) -> Column:
+    return F.struct(field.alias("field"), old.alias("old"), new.alias("new"))
 
 
 def set_episode_paths(docs: DataFrame, doc: str = "info") -> DataFrame:

@@ -19,7 +19,7 @@ from armature.functions import poses as P
 from armature.functions import vectors as V
 from armature.functions.draws import Draw, keyed
 from armature.plans.blocks import position
-from armature.plans.lookups import lookup_join
+from armature.plans.lookups import lookup_join, settled
 
 PACKED = 2048
 
@@ -52,7 +52,7 @@ def nearest_segments(
     if STRATEGIES.get(strategy) is None:
         raise ValueError(f"{strategy!r} does not rank segments")
     seg_pose, scene_pose = STRATEGIES[strategy]
-    pool = segs.select(on, F.col(segment_id).alias("_id"), seg_pose().alias("_pose"))
+    pool = settled(segs.select(on, F.col(segment_id).alias("_id"), seg_pose().alias("_pose")), "segments")
     asked = scenes.select(on, F.col(scene_id).alias("_scene"), scene_pose().alias("_at"))
     weights = (pos_weight, rot_weight)
     n = pool.limit(packed + 1).count()
@@ -60,7 +60,7 @@ def nearest_segments(
         members = pool.groupBy(on).agg(F.collect_list(F.struct("_pose", "_id")).alias("_members"))
         found = _rank(asked.join(F.broadcast(members), on), k, weights)
     else:
-        tiles = _tiles(pool, on, packed, pool.count())
+        tiles = settled(_tiles(pool, on, packed, pool.count()), "tiles")
         found = _from_tiles(asked, tiles, on, k, weights)
     return found.select(
         F.col("_scene").alias(scene_id), on, F.col("_found._id").alias(segment_id), F.col("_found.distance"), "rank"
@@ -89,7 +89,8 @@ def choose_segments(
         return counted.filter(F.col("rank") == pick).select(scene_id, on, segment_id)
     code = F.xxhash64(segment_id)
     numbered = position(segs.select(on, segment_id), [on], [code, segment_id], F.shiftright(code, 54), "_number")
-    sizes = segs.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = settled(numbered, "numbered-segments")
+    sizes = settled(numbered.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), "segment-counts")
     asked = lookup_join(scenes.select(scene_id, on), sizes, [on], "inner")
     drawn = asked.withColumn("_number", F.floor(draw("choice") * F.col("_n")).cast("long"))
     return lookup_join(drawn, numbered, [on, "_number"], "inner").select(scene_id, on, segment_id)
@@ -150,9 +151,9 @@ def _from_tiles(asked: DataFrame, tiles: DataFrame, on: str, k: int, weights: tu
 
     index = tiles.select(on, "_tile", "_low", "_high", F.size("_members").alias("_size"))
     listed = index.groupBy(on).agg(F.collect_list(F.struct("_tile", "_low", "_high", "_size")).alias("_index"))
-    placed = lookup_join(asked, listed, [on], "inner", spread=["_scene"])
+    placed = lookup_join(asked, settled(listed, "tile-index"), [on], "inner", spread=["_scene"])
     bounds = F.transform("_index", lambda t: F.struct(box_distance(t).alias("d"), t["_tile"].alias("_tile")))
-    placed = placed.withColumn("_near", bounds).drop("_index")
+    placed = settled(placed.withColumn("_near", bounds).drop("_index"), "placed-scenes")
     first = placed.withColumn("_tile", F.array_min("_near")["_tile"])
     members = tiles.select(on, "_tile", "_members")
     reached = _rank(_with_members(first, members, on), k, weights, ("_near",)).groupBy("_scene", on).agg(

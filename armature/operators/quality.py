@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from armature.functions import vectors as V
 from armature.plans.blocks import Fold, running
+from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     ARM_DIM,
     CHUNK_EPISODES,
@@ -194,8 +195,7 @@ def histogram(df: DataFrame, col: str, dim: int = JOINT_DIM, bins: int = 50, by:
         ).alias("_ranges")
     )
     if by:
-        from armature.plans.lookups import lookup_join
-
+        ranges = settled(ranges, "ranges")
         ranged = lookup_join(df, ranges, by, "left")
     else:
         ranged = df.withColumn("_ranges", ranges.scalar())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armature.plans.blocks import BLOCK, block_of, fits, last_position
-from armature.plans.lookups import lookup_join
+from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     EXECUTED,
     HORIZON,
@@ -170,7 +170,8 @@ def _apply(df, col, out, stages, keys, pos, dim, entry) -> DataFrame:
 def _entries(df, col, stage, keys, pos, dim, size) -> DataFrame:
     """State at the start of every block but the first, for episodes of several blocks."""
     long = df.groupBy(*keys).agg(F.max(pos).alias("_last")).filter(F.col("_last") >= size).select(*keys)
-    rows = lookup_join(df.select(*keys, "_block", pos, col), long, keys, "left_semi", spread=["_block"])
+    many = settled(long, "long-episodes")
+    rows = lookup_join(df.select(*keys, "_block", pos, col), many, keys, "left_semi", spread=["_block"])
     key_fields = [df.schema[k] for k in keys]
     points = T.ArrayType(VECTOR)
     map_schema = T.StructType(

@@ -7,10 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armature.session import new_dir
+
 MAX_BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    For derived tables that are counted or used several times: they are computed once, later
+    counts come from file footers, and a lost executor costs no recomputation.
+    """
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Counts at most rows + 1 rows."""
     return df.limit(rows + 1).count() <= rows
@@ -26,7 +39,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join a lookup table to many rows; `how` must keep or drop rows of `df` only.
 
-    A counted, small table is broadcast. A larger one is repeated `SALTS` times and joined
+    A derived table should be `settled` first, as it is counted. A small one is broadcast. A larger one is repeated `SALTS` times and joined
     on (on, salt), with the salt taken from the `spread` columns, so a key owning a third
     of `df` is split over that many tasks and the result is the same.
     """

@@ -84,14 +84,16 @@ def speed(velocity: Column | str) -> Column:
     return norm(lanes(velocity, 3))
 
 
+def largest(cols: Sequence[Column]) -> Column:
+    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+
+
 def max_abs(vec: Column | str, dim: int) -> Column:
-    values = [F.abs(x) for x in lanes(vec, dim)]
-    return values[0] if dim == 1 else F.greatest(*values)
+    return largest([F.abs(x) for x in lanes(vec, dim)])
 
 
 def max_abs_difference(a: Column | str, b: Column | str, dim: int) -> Column:
-    values = [F.abs(x - y) for x, y in zip(lanes(a, dim), lanes(b, dim), strict=True)]
-    return F.greatest(*values)
+    return largest([F.abs(x - y) for x, y in zip(lanes(a, dim), lanes(b, dim), strict=True)])
 
 
 def all_close(a: Column | str, b: Column | str, dim: int, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -358,7 +358,7 @@ co AS (SELECT *, coalesce(sum(CAST(success AS INTEGER)) OVER w, 0) AS won, coale
 
 
 def _attempts(fx):
-    from armature.plans.blocks import position
+    from armature.plans.blocks import position, rank_buckets
 
     rows = fx.table("lineitem").select(
         F.col("l_suppkey").alias("run"),
@@ -366,7 +366,7 @@ def _attempts(fx):
         (F.col("l_quantity") > 20).alias("success"),
         "l_partkey",
     )
-    return position(rows, ["run"], ["_k", "l_partkey", "success"], None, "attempt").select("run", "attempt", "success")
+    return position(rows, ["run"], ["_k", "l_partkey", "success"], rank_buckets(rows, F.col("_k")), "attempt").select("run", "attempt", "success")
 
 
 @query("accept", f"WITH {ATTEMPTS} SELECT run, attempt, success FROM co WHERE won < 20 AND lost < 50")

@@ -497,7 +497,7 @@ def video_cut_manifest(fx):
 def video_cuts(fx):
     """Frames are asked for at their middle, so that no time lies on a segment's end."""
     middle = fx.frames().withColumn("timestamp", F.col("timestamp") + F.lit(0.5) / F.lit(30.0))
-    placed = W.video_cuts(middle, _episodes(fx))
+    placed = W.video_cuts(middle, _episodes(fx), longest=fx.longest)
     at = F.col("from_ts") + F.col(POS) / F.lit(30.0)
     return placed.select(*FRAME, "camera", r6(at).alias("video_ts"))
 

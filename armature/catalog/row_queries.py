@@ -336,7 +336,7 @@ def episode_slice(fx):
     WHERE frame_index >= 5 AND frame_index < length - 15""",
 )
 def episode_sampler(fx):
-    return P.episode_sampler(fx.frames(), 5, 15).select(*FRAME)
+    return P.episode_sampler(fx.frames(), 5, 15, longest=fx.longest).select(*FRAME)
 
 
 @query(
@@ -346,4 +346,4 @@ def episode_sampler(fx):
 )
 def filter_demos(fx):
     kept = P.filter_min_length(fx.demos(), 60)
-    return P.filter_successful(kept, fx.frames(), KEYS, pos=POS).select(*FRAME)
+    return P.filter_successful(kept, fx.frames(), KEYS, pos=POS, longest=fx.longest).select(*FRAME)

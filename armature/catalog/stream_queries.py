@@ -117,7 +117,7 @@ def _key():
 
 def _keyed(fx):
     rows = fx.table("events").select(_robot(), "ts", "event_id", _key())
-    return position(rows, ["robot"], ["ts", "event_id"])
+    return position(rows, ["robot"], ["ts", "event_id"], fx.time_buckets())
 
 
 @query(

@@ -164,7 +164,7 @@ def segments(fx):
     JOIN sg USING (dataset, episode_index) WHERE frame_index >= start AND frame_index < end_""",
 )
 def frames_in_segments(fx):
-    return W.frames_in_segments(fx.frames(), _segments(fx)).select(*FRAME, "subtask", "object_ref")
+    return W.frames_in_segments(fx.frames(), _segments(fx), longest=fx.longest).select(*FRAME, "subtask", "object_ref")
 
 
 RENUMBERED = f"""{Q.FRAMES},
@@ -233,39 +233,44 @@ def _smoothed_sql(stages) -> str:
     return f"WITH {recursion(stages)} SELECT {Q.EPISODE}, " + ", ".join(sql_r6(f"z{last}_{i}", f"y{i}") for i in range(6)) + " FROM r"
 
 
+def _actions(fx):
+    """What the filter needs: rows go through Arrow whole."""
+    return fx.frames().select(*FRAME, "action")
+
+
 def _y(df, col):
     return df.select(*FRAME, *spread(col, "y", 6))
 
 
 @query("ema", _smoothed_sql([("ema", 0.3)]))
 def ema(fx):
-    return _y(S.ema(fx.frames(), "action", longest=fx.longest), "smoothed")
+    return _y(S.ema(_actions(fx), "action", longest=fx.longest), "smoothed")
 
 
 @query("limit_velocity", _smoothed_sql([("limit", 5.0)]))
 def limit_velocity(fx):
-    return _y(S.limit_velocity(fx.frames(), "action", longest=fx.longest), "limited")
+    return _y(S.limit_velocity(_actions(fx), "action", longest=fx.longest), "limited")
 
 
 @query("smooth_light", _smoothed_sql([("ema", 0.7), ("limit", 10.0)]))
 def smooth_light(fx):
-    return _y(S.smooth(fx.frames(), "action", "light", longest=fx.longest), "smoothed")
+    return _y(S.smooth(_actions(fx), "action", "light", longest=fx.longest), "smoothed")
 
 
 @query("smooth_medium", _smoothed_sql([("ema", 0.4), ("limit", 5.0)]))
 def smooth_medium(fx):
-    return _y(S.smooth(fx.frames(), "action", "medium", longest=fx.longest), "smoothed")
+    return _y(S.smooth(_actions(fx), "action", "medium", longest=fx.longest), "smoothed")
 
 
 @query("smooth_heavy", _smoothed_sql([("ema", 0.2), ("limit", 3.0)]))
 def smooth_heavy(fx):
-    return _y(S.smooth(fx.frames(), "action", "heavy", longest=fx.longest), "smoothed")
+    return _y(S.smooth(_actions(fx), "action", "heavy", longest=fx.longest), "smoothed")
 
 
 @query("smooth_blocked", _smoothed_sql([("ema", 0.4), ("limit", 5.0)]))
 def smooth_blocked(fx):
     """The plan for long episodes, forced by a block of 16 frames."""
-    return _y(S.smooth(fx.frames(), "action", "medium", size=16), "smoothed")
+    return _y(S.smooth(_actions(fx), "action", "medium", size=16), "smoothed")
 
 
 OVERLAPPING = f"""{Q.FRAMES},
@@ -351,7 +356,7 @@ _SMOOTHED = recursion([("ema", 0.4), ("limit", 5.0)]) + (
 @query("smoothed_health", _health_sql(_SMOOTHED, "sp", "run, episode_index, chunk"))
 def smoothed_health(fx):
     """Flagship: recorded actions smoothed at preset medium, cut in chunks, and diagnosed."""
-    smoothed = S.smooth(fx.frames(), "action", "medium", longest=fx.longest)
+    smoothed = S.smooth(_actions(fx), "action", "medium", longest=fx.longest)
     frame = F.col(POS)
     pred = smoothed.select(
         F.col("dataset").alias("run"),
@@ -371,7 +376,7 @@ def smoothed_health(fx):
 )
 def prediction_error(fx):
     """The moving average as prediction, the recorded action as truth."""
-    pred = S.ema(fx.frames(), "action", 0.4, longest=fx.longest).drop("action", "event_id", "ts")
+    pred = S.ema(_actions(fx), "action", 0.4, longest=fx.longest).drop("action")
     errors = A.prediction_error(pred, fx.frames(), FRAME, "smoothed", by=["episode_index"])
     return errors.select("episode_index", r6("loss").alias("loss"), "elements")
 
@@ -436,7 +441,7 @@ def asof_tracking(fx):
     )
     is_command = F.col("event_type") == "click"
     commands = events.filter(is_command).groupBy("robot", "at_us").agg(F.max("value").alias("value"))
-    return A.asof_tracking(commands, events.filter(~is_command).drop("event_type"), ["robot"], "at_us", "value", 86_400_000_000)
+    return A.asof_tracking(commands, events.filter(~is_command).drop("event_type"), ["robot"], "at_us", "value")
 
 
 @query(
@@ -454,11 +459,12 @@ def shuffle_sample(fx):
 )
 def shuffled_frames(fx):
     """Place of every frame in a seeded shuffle, ranked in equal slices of the draw."""
-    from armature.plans.blocks import position
+    from armature.plans.blocks import RANK_ROWS, position
 
     draw = md5_draw(5, "episode_index", POS)
     drawn = fx.frames().select(*FRAME, draw("shuffle").alias("_draw"))
-    return position(drawn, [], ["_draw", *FRAME], F.floor(F.col("_draw") * 16).cast("long"), "place").drop("_draw")
+    slices = max(16, fx.rows // RANK_ROWS)
+    return position(drawn, [], ["_draw", *FRAME], F.floor(F.col("_draw") * slices).cast("long"), "place").drop("_draw")
 
 
 MIXTURE = f"""{Q.TWO_DATASETS},
@@ -470,7 +476,7 @@ wt AS (SELECT ab.*, 1.0::DOUBLE / (SELECT count(*) FROM m) / episodes / frames A
 
 @query("mixture_weights", f"WITH {MIXTURE} SELECT {Q.EPISODE}, round(weight, 12) AS weight FROM wt")
 def mixture_weights(fx):
-    return T.mixture_weights(fx.two_datasets()).select(*FRAME, F.round("weight", 12).alias("weight"))
+    return T.mixture_weights(fx.two_datasets(), longest=fx.longest).select(*FRAME, F.round("weight", 12).alias("weight"))
 
 
 @query(
@@ -480,5 +486,5 @@ def mixture_weights(fx):
 )
 def mixture_draw(fx):
     """1,000 frames drawn by weight; the limit is the sampling operator."""
-    weighted = T.mixture_weights(fx.two_datasets()).select(*FRAME, "weight")
+    weighted = T.mixture_weights(fx.two_datasets(), longest=fx.longest).select(*FRAME, "weight")
     return T.draw_mixture(weighted, 1000, 3, FRAME, md5_draw(3, *FRAME)).select(*FRAME)

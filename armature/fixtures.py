@@ -48,12 +48,15 @@ class Fixtures:
     def rows(self) -> int:
         return self.table("events").count()
 
+    def time_buckets(self) -> Column | None:
+        """Slices of event time with about a million rows; None if one holds them all."""
+        events = self.table("events")
+        return B.rank_buckets(events, F.unix_micros(F.col("ts").cast("timestamp")))
+
     def frames(self) -> DataFrame:
         """One episode per user of `events`, frames in time order, single dataset."""
         events = self.table("events").select("event_id", "ts", "user_id", "value")
-        bucket = None
-        if self.longest > B.RANK_ROWS:
-            bucket = B.rank_buckets(events, F.unix_micros(F.col("ts").cast("timestamp")))
+        bucket = self.time_buckets() if self.longest > B.RANK_ROWS else None
         ordered = B.position(events, ["user_id"], ["ts", "event_id"], bucket, POS)
         e = F.col("event_id")
         arm = [((e * (7 * j + 3)) % 2001) / F.lit(10.0) - F.lit(100.0) for j in range(1, 5)]
@@ -220,9 +223,11 @@ class Fixtures:
     def units(self) -> DataFrame:
         """Short episodes from order lines: 60,000 rows per 0.01 of scale."""
         lines = self.table("lineitem")
-        ordered = B.position(
-            lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], out=POS
-        )
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+        bucket = None
+        if B.longest_group(lines.select("l_orderkey"), ["l_orderkey"]) > B.RANK_ROWS:
+            bucket = F.col("l_linenumber").cast("long")
+        ordered = B.position(lines, ["l_orderkey"], order, bucket, POS)
         return ordered.select(
             F.lit("lines").alias("dataset"),
             F.col("l_orderkey").alias("episode_index"),

@@ -12,7 +12,7 @@ from armature.functions import vectors as V
 from armature.functions.draws import Draw, between, gaussian, keyed
 from armature.operators.episodes import Subtask, frames_in_segments
 from armature.operators.quality import generation_report
-from armature.plans.blocks import BLOCK, Fold, attach, running
+from armature.plans.blocks import BLOCK, Fold, attach, block_of, last_position, running
 from armature.plans.lookups import lookup_join
 
 # Object position range in metres, seed, and the stopping rule of a generation run.
@@ -23,7 +23,7 @@ MAX_FAILURES = 50
 
 
 def segment_pool(
-    frames: DataFrame, object_poses: DataFrame, segs: DataFrame, keys: Sequence[str] = ("demo",), size: int = BLOCK
+    frames: DataFrame, object_poses: DataFrame, segs: DataFrame, keys: Sequence[str] = ("demo",), **plan
 ) -> DataFrame:
     """Frames of every segment, numbered from its start, with the object's pose at that start.
 
@@ -33,7 +33,7 @@ def segment_pool(
         *keys, F.col("t").alias("start"), F.col("object").alias("object_ref"), F.col("pose").alias("object_pose")
     )
     placed = segs.join(at_start, [*keys, "start", "object_ref"])
-    rows = frames_in_segments(frames, placed, keys, "t", size)
+    rows = frames_in_segments(frames, placed, keys, "t", **plan)
     return rows.withColumn("step", F.col("t") - F.col("start")).drop("t", "start", "end")
 
 
@@ -61,12 +61,23 @@ def warp(
     poses: Sequence[str] = ("eef_pose", "target_eef_pose"),
     new_object: str = "new_object_pose",
     spread: Sequence[str] = ("scene",),
+    scenes_per_task: int = 10_000,
+    size: int = BLOCK,
 ) -> DataFrame:
     """Move a segment's poses along with its object: new_object * inverse(old object) * pose.
 
     `chosen` has one row per scene and subtask; the pose relative to the object is unchanged.
+    A segment that many scenes chose is repeated for every `scenes_per_task` of them, and a
+    segment longer than a block is joined block by block. `pool` should be `settled`.
     """
-    rows = lookup_join(chosen, pool, on, "inner", spread=spread)
+    on = list(on)
+    if last_position(pool, "step") > size:
+        blocks = pool.groupBy(*on).agg(F.max("step").alias("_last"))
+        every = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / size).cast("long"))
+        chosen = chosen.join(blocks.select(*on, F.explode(every).alias("_block")), on)
+        pool = pool.withColumn("_block", block_of("step", size))
+        on = [*on, "_block"]
+    rows = lookup_join(chosen, pool, on, "inner", spread=spread, per_task=scenes_per_task).drop("_block")
     moved = rows.withColumns({f"_rel_{c}": P.relative("object_pose", c) for c in poses})
     turned = moved.withColumns({c: P.compose(new_object, f"_rel_{c}") for c in poses})
     return turned.drop(*[f"_rel_{c}" for c in poses])
@@ -77,7 +88,7 @@ def stitch(
     subtasks: Sequence[Subtask],
     scene: Sequence[str] = ("scene",),
     pose: str = "target_eef_pose",
-    size: int = BLOCK,
+    **plan,
 ) -> DataFrame:
     """One trajectory per scene: transition, fixed steps, then the warped segment.
 
@@ -108,7 +119,7 @@ def stitch(
         )
     )
     facts = planned.select(*keys, "_steps", (F.col("_start") + F.col("_bridge") + F.col("_pause")).alias("_at"))
-    body = attach(warped, facts, keys, "step", F.col("_steps") - 1, size=size).select(
+    body = attach(warped, facts, keys, "step", F.col("_steps") - 1, **plan).select(
         *keys, (F.col("_at") + F.col("step")).cast("long").alias("t"), pose, "gripper", F.lit("segment").alias("part")
     )
     steps = planned.filter(F.col("_bridge") + F.col("_pause") > 0).withColumn(

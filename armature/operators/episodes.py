@@ -183,13 +183,21 @@ def segments(
 
 
 def frames_in_segments(
-    df: DataFrame, segs: DataFrame, keys: Sequence[str] = KEYS, pos: str = POS, size: int = BLOCK
+    df: DataFrame,
+    segs: DataFrame,
+    keys: Sequence[str] = KEYS,
+    pos: str = POS,
+    size: int = BLOCK,
+    longest: int | None = None,
 ) -> DataFrame:
     """Frames with the segment they fall in (start <= position < end).
 
     A segment is repeated per block it touches, so the join has an equality on
     (keys, block) and a range test only within a block.
     """
+    inside = (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end"))
+    if fits(longest, size):
+        return df.join(segs, list(keys)).filter(inside)
     touched = segs.filter(F.col("end") > F.col("start")).withColumn(
         "_block",
         F.explode(
@@ -198,9 +206,8 @@ def frames_in_segments(
             )
         ),
     )
-    at = F.col(pos)
     joined = df.withColumn("_block", block_of(pos, size)).join(touched, [*keys, "_block"])
-    return joined.filter((at >= F.col("start")) & (at < F.col("end"))).drop("_block")
+    return joined.filter(inside).drop("_block")
 
 
 def renumber(
@@ -273,7 +280,7 @@ def video_cuts(
     episodes: DataFrame,
     keys: Sequence[str] = KEYS,
     pos: str = POS,
-    size: int = BLOCK,
+    **plan,
 ) -> DataFrame:
     """Frames with their camera segment: seconds in the combined file, and whether inside it.
 
@@ -281,7 +288,7 @@ def video_cuts(
     without times is skipped.
     """
     segs = cut_manifest(episodes, keys).select(*keys, "camera", "from_ts", "to_ts", "_last")
-    joined = attach(frames, segs, keys, pos, F.col("_last"), "inner", size)
+    joined = attach(frames, segs, keys, pos, F.col("_last"), "inner", **plan)
     at = F.col("from_ts") + F.col("timestamp")
     return joined.drop("_last").withColumn("video_ts", at).filter((at >= F.col("from_ts")) & (at < F.col("to_ts")))
 

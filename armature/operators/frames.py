@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from armature.functions import vectors as V
 from armature.functions.poses import relative
-from armature.plans.blocks import BLOCK, attach
+from armature.plans.blocks import attach
 from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     CHUNK_EPISODES,
@@ -179,7 +179,10 @@ def to_joint(df: DataFrame) -> DataFrame:
 
 
 def convert_actions(demos: DataFrame, frames: DataFrame, to: str | None) -> DataFrame:
-    """Frames of successful demos with actions in the asked space: 'ik' or 'joint'."""
+    """Frames of successful demos with actions in the asked space: 'ik' or 'joint'.
+
+    The poses and targets were recorded with the frames, so both are projections.
+    """
     if to not in ("ik", "joint"):
         raise ValueError("ask for exactly one conversion: 'ik' or 'joint'")
     kept = filter_successful(demos, frames)
@@ -197,11 +200,11 @@ def filter_successful(
     keys: Sequence[str] = ("demo",),
     length: str = "num_samples",
     pos: str = "t",
-    size: int = BLOCK,
+    **plan,
 ) -> DataFrame:
     """Frames of successful demos; joined per block, so a very long demo is spread out."""
     kept = successful(demos).select(*keys, length)
-    return attach(frames, kept, keys, pos, F.col(length) - 1, "left_semi", size)
+    return attach(frames, kept, keys, pos, F.col(length) - 1, "left_semi", **plan)
 
 
 def filter_min_length(demos: DataFrame, frames: int = MIN_DEMO_FRAMES) -> DataFrame:
@@ -227,7 +230,7 @@ def episode_sampler(
     keys: Sequence[str] = KEYS,
     pos: str = POS,
     lengths: DataFrame | None = None,
-    size: int = BLOCK,
+    **plan,
 ) -> DataFrame:
     """Frames that may start a sample: without the first `first` and last `last` of an episode."""
     if not last:
@@ -235,7 +238,7 @@ def episode_sampler(
     if lengths is None:
         lengths = df.groupBy(*keys).agg((F.max(pos) + 1).alias("length"))
     bounds = lengths.select(*keys, F.col("length").alias("_length"))
-    joined = attach(df.filter(F.col(pos) >= first), bounds, keys, pos, F.col("_length") - 1, size=size)
+    joined = attach(df.filter(F.col(pos) >= first), bounds, keys, pos, F.col("_length") - 1, **plan)
     return joined.filter(F.col(pos) < F.col("_length") - last).drop("_length")
 
 

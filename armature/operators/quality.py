@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armature.functions import vectors as V
-from armature.plans.blocks import Fold, running
+from armature.plans.blocks import Fold, block_width, running
 from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     ARM_DIM,
@@ -337,14 +337,18 @@ def asof_tracking(
     keys: Sequence[str],
     pos: str,
     col: str = "joints",
-    size: int = 60_000_000,
+    size: int | None = None,
     longest: int | None = None,
 ) -> DataFrame:
     """Each actual row with the newest command at or before it.
 
     `pos` is an integer time; at equal times the command comes first. One ordered union
-    with a running last value, carried over blocks of `size` time units.
+    with a running last value, carried over blocks of `size` time units; if not given, the
+    width is taken from the number of rows and their time span.
     """
+    if size is None:
+        size = block_width(actuals, pos)
+        size, longest = (1, 1) if size is None else (size, longest)
     rest = [c for c in actuals.columns if c not in (*keys, pos, col)]
     empty = [F.lit(None).cast(actuals.schema[c].dataType).alias(c) for c in rest]
     both = (

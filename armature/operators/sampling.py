@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armature.functions.draws import Draw, keyed
-from armature.plans.blocks import BLOCK, RANK_ROWS, attach, position
+from armature.plans.blocks import RANK_ROWS, attach, position
 from armature.schema import KEYS, POS
 
 TOP_ROWS = 100_000
@@ -42,7 +42,7 @@ def smallest(df: DataFrame, n: int, share: Column, ties: Sequence[str], top_rows
 
 
 def mixture_weights(
-    frames: DataFrame, keys: Sequence[str] = KEYS, pos: str = POS, size: int = BLOCK
+    frames: DataFrame, keys: Sequence[str] = KEYS, pos: str = POS, **plan
 ) -> DataFrame:
     """Frames with the weight that makes datasets, and episodes in them, equally likely.
 
@@ -57,7 +57,7 @@ def mixture_weights(
     weighted = lengths.join(sizes, dataset).select(
         *keys, "_last", (F.lit(1.0) / datasets / F.col("_episodes") / F.col("_frames")).alias("weight")
     )
-    return attach(frames, weighted, keys, pos, F.col("_last"), size=size).drop("_last")
+    return attach(frames, weighted, keys, pos, F.col("_last"), **plan).drop("_last")
 
 
 def draw_mixture(

@@ -1,8 +1,9 @@
 """Smoothing and rate limiting of vectors along an episode.
 
-Both filters feed their own output back, so they are not window functions. Rows are
-hash-partitioned by (keys, block), sorted by position, and filtered in Arrow batches,
-one numpy step for all episodes of a batch at once.
+Both filters feed their own output back, so they are not window functions. A row number
+per key clusters and sorts the rows (an existing partitioning by the keys is used as it
+is) and marks where an episode starts; the filter then runs over Arrow batches, one numpy
+step for all episodes of a batch at once.
 
 An episode longer than a block would otherwise be one sequential task. There, a first
 pass reduces every block to the exact map from the state at its start to the state at
@@ -18,8 +19,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,15 +139,19 @@ def recurrence(
 
 
 def _sorted(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, pos)
+    """Rows clustered by the keys and in position order, `_step` counting from 1 per key."""
+    step = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
+    return df.withColumn("_step", step).sortWithinPartitions(*keys, pos)
 
 
 def _apply(df, col, out, stages, keys, pos, dim, entry) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, VECTOR)])
+    names = df.columns
     entry_col = entry[0] if entry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts, lens, resumed, state in _segments(batches, keys, len(stages), dim):
+        state = [np.zeros(dim) for _ in stages]
+        for batch, starts, lens, resumed in _segments(batches):
             x = _matrix(batch.column(col), dim)
             known = np.zeros(len(starts), dtype=bool)
             states = [np.zeros((len(starts), dim)) for _ in stages]
@@ -162,7 +166,8 @@ def _apply(df, col, out, stages, keys, pos, dim, entry) -> DataFrame:
             y = _advance(x, starts, lens, known, states, stages)
             for i, s in enumerate(states):
                 state[i] = s[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _vectors(y)], names=[*batch.schema.names, out])
+            kept = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*kept, _vectors(y)], names=[*names, out])
 
     return _sorted(df, keys, pos).mapInArrow(run, schema)
 
@@ -189,7 +194,7 @@ def _entries(df, col, stage, keys, pos, dim, size) -> DataFrame:
     def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: list[_BlockMap] = []
         done: list[dict] = []
-        for batch, starts, lens, resumed, _ in _segments(batches, [*keys, "_block"], 1, dim):
+        for batch, starts, lens, resumed in _segments(batches):
             x = _matrix(batch.column(col), dim)
             for i, (start, length) in enumerate(zip(starts, lens, strict=True)):
                 if not (i == 0 and resumed):
@@ -321,27 +326,16 @@ def _advance(x, starts, lens, known, states, stages) -> np.ndarray:
     return out
 
 
-def _segments(batches, keys, n_stages, dim):
-    """Cut sorted batches where a key changes; say whether the first piece continues the batch before."""
-    last_key = None
-    state = [np.zeros(dim) for _ in range(n_stages)]
+def _segments(batches: Iterable[pa.RecordBatch]):
+    """Starts and lengths of the episodes in a batch, and whether the first continues the batch before."""
     for batch in batches:
-        n = batch.num_rows
-        if n == 0:
+        if batch.num_rows == 0:
             continue
-        change = np.zeros(n, dtype=bool)
-        change[0] = True
-        for k in keys:
-            c = batch.column(k)
-            if n > 1:
-                differs = pc.not_equal(c.slice(1), c.slice(0, n - 1))
-                change[1:] |= np.asarray(pc.fill_null(differs, True))
-        starts = np.flatnonzero(change)
-        lens = np.diff(np.append(starts, n))
-        first_key = tuple(batch.column(k)[0].as_py() for k in keys)
-        resumed = first_key == last_key
-        last_key = tuple(batch.column(k)[n - 1].as_py() for k in keys)
-        yield batch, starts, lens, resumed, state
+        first = np.asarray(batch.column("_step")) == 1
+        resumed = not first[0]
+        first[0] = True
+        starts = np.flatnonzero(first)
+        yield batch, starts, np.diff(np.append(starts, batch.num_rows)), resumed
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -131,6 +131,14 @@ def running(
     return out.drop("_block", *scratch)
 
 
+def block_width(df: DataFrame, pos: str, rows: int = RANK_ROWS) -> int | None:
+    """Width of position blocks that hold about `rows` rows of the whole table each; None if one does."""
+    total, low, high = df.agg(F.count(F.lit(1)), F.min(pos), F.max(pos)).first()
+    if total <= rows:
+        return None
+    return max(1, (int(high) - int(low)) * rows // total)
+
+
 def rank_buckets(df: DataFrame, at: Column, rows: int = RANK_ROWS) -> Column | None:
     """Equal slices of an ordering value holding about `rows` rows each; None if one is enough."""
     facts = df.select(at.alias("at")).agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
@@ -180,12 +188,16 @@ def attach(
     last: Column,
     how: str = "inner",
     size: int = BLOCK,
+    longest: int | None = None,
 ) -> DataFrame:
     """Join per-episode facts to frames on (keys, block).
 
     A fact row is repeated once per block of its episode (`last` is the episode's largest
-    position), so no join key holds more than `size` frames.
+    position), so no join key holds more than `size` frames. Where every episode fits in a
+    block the keys alone are joined, and frames partitioned by them are not shuffled again.
     """
+    if fits(longest, size):
+        return df.join(facts, list(keys), how)
     per_block = facts.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / F.lit(size)).cast("long")))
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from armature.session import new_dir
 
 MAX_BROADCAST_ROWS = 100_000
+ROWS_PER_TASK = 1_000_000
+HOT_KEYS = 50_000
 SALTS = 64
 
 
@@ -36,17 +40,29 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] = (),
     rows: int = MAX_BROADCAST_ROWS,
+    per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join a lookup table to many rows; `how` must keep or drop rows of `df` only.
 
-    A derived table should be `settled` first, as it is counted. A small one is broadcast. A larger one is repeated `SALTS` times and joined
-    on (on, salt), with the salt taken from the `spread` columns, so a key owning a third
-    of `df` is split over that many tasks and the result is the same.
+    A derived table should be `settled` first, as it is counted. A small one is broadcast.
+    With a larger one, keys that own more than `per_task` rows of `df` are found by a count;
+    their table rows are repeated and their `df` rows split over the copies by a hash of the
+    `spread` columns. Fewer than `HOT_KEYS` keys can be that hot, so their list is broadcast.
     """
     on = list(on)
     if is_small(table, rows):
         return df.join(F.broadcast(table), on, how)
+    share = max(per_task, df.count() // HOT_KEYS)
+    owned = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_owned")).filter(F.col("_owned") > share)
+    hot = settled(owned.select(*on, F.ceil(F.col("_owned") / share).cast("int").alias("_copies")), "hot-keys")
     spread = list(spread) or [c for c, t in df.dtypes if not t.startswith("map")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.xxhash64(*spread)
+    unmatched = reduce(or_, [F.col(c).isNull() for c in on])
+    salt = F.when(unmatched, F.pmod(part, F.lit(SALTS))).otherwise(F.coalesce(F.pmod(part, F.col("_copies")), F.lit(0)))
+    salted = df.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int")).drop("_copies")
+    copies = (
+        table.join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)))
+        .drop("_copies")
+    )
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

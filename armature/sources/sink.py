@@ -52,9 +52,9 @@ def write_chunked(df: DataFrame, root: str, mode: str = "errorifexists", chunks_
     chunk = F.format_string("chunk-%03d", F.floor(F.col("episode_index") / chunks_size).cast("long"))
     (
         stored_frames(df)
-        .repartitionByRange("episode_index", "frame_index")
-        .sortWithinPartitions("episode_index", "frame_index")
         .withColumn("chunk", chunk)
+        .repartitionByRange("episode_index", "frame_index")
+        .sortWithinPartitions("chunk", "episode_index", "frame_index")
         .write.mode(mode)
         .partitionBy("chunk")
         .parquet(f"{root}/data")

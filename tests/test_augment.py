@@ -65,6 +65,10 @@ def test_warp_keeps_the_pose_relative_to_the_object(spark):
         [(i, 0, 0, o.tolist(), e.tolist()) for i, (o, e) in enumerate(zip(old, eef, strict=True))],
         f"demo long, subtask int, step long, object_pose {POSE}, eef_pose {POSE}",
     ).withColumn("target_eef_pose", F.col("eef_pose"))
+    for plan in ({"scenes_per_task": 1}, {"size": 1}):
+        many = chosen.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(4))))
+        long = pool.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+        assert G.warp(many, long, **plan).count() == 10 * 5 * 3
     source = pool.select("demo", P.to_matrix(P.relative("object_pose", "eef_pose")).alias("before"))
     done = G.warp(chosen, pool).select("demo", P.to_matrix(P.relative("new_object_pose", "eef_pose")).alias("after"))
     for r in source.join(done, "demo").collect():

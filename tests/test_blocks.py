@@ -77,8 +77,9 @@ def test_attach_repeats_facts_per_block(frames):
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_lookup_equals_broadcast(spark, frames, how):
     table = spark.createDataFrame([(0, "a"), (3, "b"), (21, "c"), (99, "d")], "episode_index long, name string")
+    frames = frames.withColumn("episode_index", F.when(F.col("episode_index") != 15, F.col("episode_index")))
     small = L.lookup_join(frames, table, ["episode_index"], how)
-    salted = L.lookup_join(frames, table, ["episode_index"], how, rows=2)
+    salted = L.lookup_join(frames, table, ["episode_index"], how, rows=2, per_task=5)
     assert "BroadcastExchange" in small._jdf.queryExecution().toString()
     cols = small.columns
     assert salted.columns == cols
@@ -220,6 +221,6 @@ def test_asof_takes_the_newest_earlier_command(spark):
     commands = spark.createDataFrame([("r", 10, 1.0), ("r", 20, 2.0), ("s", 5, 9.0)], "robot string, us long, v double")
     actual = spark.createDataFrame([("r", 9, 0.0), ("r", 10, 0.1), ("r", 500, 0.2), ("s", 4, 0.3), ("s", 6, 0.4)],
                                    "robot string, us long, v double")
-    for size in (4, 1000):
+    for size in (4, 1000, None):
         got = {(r.robot, r.us): r.commanded for r in A.asof_tracking(commands, actual, ["robot"], "us", "v", size).collect()}
         assert got == {("r", 9): None, ("r", 10): 1.0, ("r", 500): 2.0, ("s", 4): None, ("s", 6): 9.0}

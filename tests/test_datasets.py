@@ -119,6 +119,11 @@ def test_frames_round_trip(spark, tmp_path, write):
     root = str(tmp_path / "set")
     df = frames(spark)
     write(df, root)
+    for folder, _, names in os.walk(f"{root}/data"):
+        for name in names:
+            if name.endswith(".parquet"):
+                order = pq.ParquetFile(os.path.join(folder, name)).read().select(["episode_index", "frame_index"]).to_pylist()
+                assert order == sorted(order, key=lambda r: (r["episode_index"], r["frame_index"]))
     again = scan.scan_frames(spark, root, "d")
     cols = ["episode_index", "frame_index", "index", "task_index", "action", "state"]
     assert sorted(map(tuple, again.select(*cols).collect())) == sorted(map(tuple, df.select(*cols).collect()))

@@ -41,12 +41,12 @@ OFF_TIE = 1.2345678e-8
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals, with negative zero made positive."""
-    return F.round(V.col(c) + F.lit(OFF_TIE), 6) + F.lit(0.0)
+    """Six decimals by integer rounding: stays in generated code and has no negative zero."""
+    return F.floor((V.col(c) + F.lit(OFF_TIE)) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
 def r3(c: Column | str) -> Column:
-    return F.round(V.col(c) + F.lit(OFF_TIE * 1000), 3) + F.lit(0.0)
+    return F.floor((V.col(c) + F.lit(OFF_TIE * 1000)) * F.lit(1e3) + F.lit(0.5)) / F.lit(1e3)
 
 
 def spread(vec: Column | str, prefix: str, dim: int, rounded: bool = True) -> list[Column]:

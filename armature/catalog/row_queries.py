@@ -11,6 +11,7 @@ from armature.functions import vectors as V
 from armature.operators import frames as P
 from armature.operators import quality as A
 from armature.operators.episodes import with_tasks
+from armature.plans.lookups import settled
 from armature.schema import DEGREE_LIMITS, JOINTS, KEYS, NORMAL_LIMITS, POS, PROMPTS
 
 FRAME = [*KEYS, POS]
@@ -179,7 +180,7 @@ def _scaled(i: int) -> str:
 )
 def normalize_minmax(fx):
     frames = fx.frames()
-    stats = A.feature_stats(frames, {"action": 6})
+    stats = settled(A.feature_stats(frames, {"action": 6}), "stats")
     scaled = P.normalize_minmax(frames, stats, "action", out="scaled")
     renamed = stats.withColumn("feature", F.lit("scaled"))
     back = P.denormalize_minmax(scaled, renamed, "scaled", out="restored")
@@ -196,7 +197,7 @@ def normalize_minmax(fx):
 )
 def normalize_by_dataset(fx):
     frames = fx.two_datasets()
-    stats = A.feature_stats(frames, {"action": 6}, by=["dataset"])
+    stats = settled(A.feature_stats(frames, {"action": 6}, by=["dataset"]), "stats")
     return P.normalize_minmax(frames, stats, "action", by=["dataset"]).select(*FRAME, *spread("action", "n", 6))
 
 

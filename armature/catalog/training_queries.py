@@ -9,6 +9,7 @@ from armature.catalog.base import md5_draw, query, r6, spread, sql_draw, sql_r6
 from armature.operators import episodes as W
 from armature.operators import quality as A
 from armature.operators import training as R
+from armature.plans.lookups import settled
 from armature.schema import KEYS, POS
 
 FRAME = [*KEYS, POS]
@@ -90,7 +91,7 @@ _LOHI = f"mm AS (SELECT {Q.sql_list('min(a{i}) AS lo{i}, max(a{i}) AS hi{i}, min
 def training_samples(fx):
     """Packed samples; the state, the last step of the chunk, sizes and masks are compared."""
     frames = fx.frames_with_state()
-    stats = A.feature_stats(frames, {"action": 6, "state": 6})
+    stats = settled(A.feature_stats(frames, {"action": 6, "state": 6}), "stats")
     samples = R.training_samples(frames, fx.tasks(), stats, longest=fx.longest)
     last = F.get("action", F.lit(15))
     true = lambda c: F.size(F.filter(c, lambda m: m))

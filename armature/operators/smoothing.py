@@ -5,11 +5,15 @@ per key clusters and sorts the rows (an existing partitioning by the keys is use
 is) and marks where an episode starts; the filter then runs over Arrow batches, one numpy
 step for all episodes of a batch at once.
 
-An episode longer than a block would otherwise be one sequential task. There, a first
-pass reduces every block to the exact map from the state at its start to the state at
-its end (affine for the moving average, piecewise linear with slopes 0 and 1 for the
-limiter); chaining those maps, one row per block, gives each block its entry state, and
-the second pass filters all blocks in parallel.
+Long stretches are cut into pieces that advance side by side. For the moving average a
+piece's exit is linear in its entry. For the limiter, which is monotone, a piece is run
+from both ends of the range its entry must lie in: where the two runs meet, the exit does
+not depend on the entry; where they do not, the piece is run again from its true entry.
+
+An episode longer than a block is spread over tasks the same way. A first pass reduces
+every block to the exact map from entry to exit state (affine, constant, or piecewise
+linear with slopes 0 and 1), chaining those maps, one row per block, gives each block its
+entry, and a second pass filters all blocks in parallel.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from armature.functions import vectors as V
 from armature.plans.blocks import BLOCK, block_of, fits, last_position
 from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
@@ -38,6 +44,10 @@ from armature.schema import (
 
 Stage = tuple[str, float]
 VECTOR = T.ArrayType(T.DoubleType())
+#: Rows that advance as one piece.
+PIECE = 256
+#: Beyond any joint position.
+FAR = 1e300
 
 
 def ema(
@@ -123,19 +133,33 @@ def recurrence(
     """Run filter stages along each episode. `longest` bounds the positions of an episode;
     if it is not given, one column is read to find it."""
     keys = list(keys)
+    stages = list(stages)
     longest = last_position(df, pos) if longest is None else longest
     if fits(longest, size):
-        return _apply(df, col, out, list(stages), keys, pos, dim, [])
-    blocked = df.withColumn("_block", block_of(pos, size))
-    source = col
+        return _apply(df, col, out, stages, keys, pos, dim)
+    lanes = V.lanes(col, dim)
+    spans = df.groupBy(*keys).agg(
+        F.max(pos).alias("_last"),
+        F.array(*[F.min(x) for x in lanes]).alias("_low"),
+        F.array(*[F.max(x) for x in lanes]).alias("_high"),
+    )
+    many = settled(spans.filter(F.col("_last") >= size).drop("_last"), "long-episodes")
+    if many.isEmpty():
+        return _apply(df, col, out, stages, keys, pos, dim)
+    short = lookup_join(df, many.select(*keys), keys, "left_anti", spread=[pos])
+    long = lookup_join(df, many, keys, "inner", spread=[pos]).withColumn("_block", block_of(pos, size))
+    long = settled(long, "long-rows")
+    source, scratch = col, []
     for i, stage in enumerate(stages):
-        target = f"_stage_{i}"
-        entries = _entries(blocked, source, stage, keys, pos, dim, size)
-        joined = blocked.join(entries, [*keys, "_block"], "left")
-        blocked = _apply(joined, source, target, [stage], [*keys, "_block"], pos, dim, ["_entry"]).drop("_entry")
+        last = i == len(stages) - 1
+        target = out if last else f"_stage_{i}"
+        entries = _entries(long, source, stage, keys, pos, dim)
+        joined = long.join(entries, [*keys, "_block"], "left")
+        done = _apply(joined, source, target, [stage], [*keys, "_block"], pos, dim, "_entry").drop("_entry")
+        long = done if last else settled(done, "smoothed-rows")
+        scratch += [] if last else [target]
         source = target
-    scratch = [f"_stage_{i}" for i in range(len(stages) - 1)]
-    return blocked.drop("_block", *scratch).withColumnRenamed(source, out)
+    return _apply(short, col, out, stages, keys, pos, dim).unionByName(long.drop("_block", "_low", "_high", *scratch))
 
 
 def _sorted(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -144,10 +168,9 @@ def _sorted(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     return df.withColumn("_step", step).sortWithinPartitions(*keys, pos)
 
 
-def _apply(df, col, out, stages, keys, pos, dim, entry) -> DataFrame:
+def _apply(df, col, out, stages, keys, pos, dim, entry_col=None) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, VECTOR)])
     names = df.columns
-    entry_col = entry[0] if entry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = [np.zeros(dim) for _ in stages]
@@ -172,95 +195,89 @@ def _apply(df, col, out, stages, keys, pos, dim, entry) -> DataFrame:
     return _sorted(df, keys, pos).mapInArrow(run, schema)
 
 
-def _entries(df, col, stage, keys, pos, dim, size) -> DataFrame:
-    """State at the start of every block but the first, for episodes of several blocks."""
-    long = df.groupBy(*keys).agg(F.max(pos).alias("_last")).filter(F.col("_last") >= size).select(*keys)
-    many = settled(long, "long-episodes")
-    rows = lookup_join(df.select(*keys, "_block", pos, col), many, keys, "left_semi", spread=["_block"])
+def _entries(df, col, stage, keys, pos, dim) -> DataFrame:
+    """State at the start of every block but an episode's first."""
     key_fields = [df.schema[k] for k in keys]
+    block = T.StructField("_block", T.LongType())
     points = T.ArrayType(VECTOR)
-    map_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_block", T.LongType()),
-            T.StructField("slope", T.DoubleType()),
-            T.StructField("at", points),
-            T.StructField("to", points),
-        ]
-    )
-    map_arrow = None
-    kind, param = stage
+    fields = [T.StructField("slope", T.DoubleType()), T.StructField("at", points), T.StructField("to", points)]
+    map_schema = T.StructType([*key_fields, block, *fields])
+    map_arrow = to_arrow_schema(map_schema)
+    entry_schema = T.StructType([*key_fields, block, T.StructField("_entry", VECTOR)])
+    entry_arrow = to_arrow_schema(entry_schema)
 
     def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: list[_BlockMap] = []
-        done: list[dict] = []
+        current: _BlockMap | None = None
         for batch, starts, lens, resumed in _segments(batches):
             x = _matrix(batch.column(col), dim)
+            done = []
             for i, (start, length) in enumerate(zip(starts, lens, strict=True)):
-                if not (i == 0 and resumed):
-                    done += [m.row() for m in maps]
-                    maps = []
+                if i > 0 or not resumed:
+                    if current is not None:
+                        done.append(current.row())
                     head = {k: batch.column(k)[start].as_py() for k in [*keys, "_block"]}
-                    maps = [_BlockMap(head, kind, param, dim, first=head["_block"] == 0)]
-                maps[0].extend(x[start : start + length])
+                    span = [np.array(batch.column(c)[start].as_py()) for c in ("_low", "_high")]
+                    current = _BlockMap(head, stage, *span)
+                current.extend(x[start : start + length])
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=map_arrow)
-                done = []
-        if maps:
-            yield pa.RecordBatch.from_pylist([m.row() for m in maps], schema=map_arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    map_arrow = to_arrow_schema(map_schema)
-    maps = _sorted(rows, [*keys, "_block"], pos).mapInArrow(reduce_blocks, map_schema)
-
-    entry_schema = T.StructType([*key_fields, T.StructField("_block", T.LongType()), T.StructField("_entry", VECTOR)])
-    entry_arrow = to_arrow_schema(entry_schema)
+        if current is not None:
+            yield pa.RecordBatch.from_pylist([current.row()], schema=map_arrow)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        state = [0.0] * dim
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                here = tuple(row[k] for k in keys)
-                if here != key:
-                    key, state = here, [0.0] * dim
-                else:
+                if row["_step"] > 1:
                     found.append({**{k: row[k] for k in keys}, "_block": row["_block"], "_entry": state})
                 state = [_evaluate(row["at"][j], row["to"][j], row["slope"], state[j]) for j in range(dim)]
             yield pa.RecordBatch.from_pylist(found, schema=entry_arrow)
 
+    rows = df.select(*keys, "_block", pos, "_low", "_high", col)
+    maps = _sorted(rows, [*keys, "_block"], pos).mapInArrow(reduce_blocks, map_schema)
     return _sorted(maps, keys, "_block").mapInArrow(chain, entry_schema)
 
 
 class _BlockMap:
-    """State at the end of a block as a function of the state at its start, per lane."""
+    """State at the end of a block as a function of the state at its start, per lane.
+
+    The moving average is followed from entry 0. The limiter is followed from both ends of
+    the episode's range, which its state never leaves; lanes where the two runs end apart
+    get the whole piecewise map.
+    """
 
-    def __init__(self, head: dict, kind: str, param: float, dim: int, first: bool):
-        self.head, self.kind, self.param, self.first = head, kind, param, first
+    def __init__(self, head: dict, stage: Stage, low: np.ndarray, high: np.ndarray):
+        self.head, self.stage = head, stage
+        self.first = head["_block"] == 0
+        slack = 1e-9 * (1.0 + np.abs(low) + np.abs(high))
+        ends = [low - slack, high + slack]
+        self.state = np.stack(ends) if stage[0] == "limit" and not self.first else np.zeros((1, len(low)))
         self.steps = 0
-        self.at = [[0.0] for _ in range(dim)]
-        self.to = [[0.0] for _ in range(dim)]
+        self.seen: list[np.ndarray] = []
 
     def extend(self, x: np.ndarray) -> None:
-        if self.steps == 0 and self.first:
-            self.to = [[v] for v in x[0].tolist()]
-            self.steps = 1
-            x = x[1:]
-        if not len(x):
-            return
-        if self.kind == "ema" or self.first:
-            state = [np.array([[lane[0] for lane in self.to]])]
-            _advance(x, np.array([0]), np.array([len(x)]), np.array([True]), state, [(self.kind, self.param)])
-            self.to = [[v] for v in state[0][0].tolist()]
-        else:
-            for j in range(len(self.at)):
-                self.at[j], self.to[j] = _limit_points(self.at[j], self.to[j], x[:, j].tolist(), self.param)
-        self.steps += len(x)
+        runs, n = len(self.state), len(x)
+        known = np.full(runs, not self.first or self.steps > 0)
+        starts, lens = np.arange(runs) * n, np.full(runs, n)
+        _advance(np.tile(x, (runs, 1)), starts, lens, known, [self.state], [self.stage])
+        self.steps += n
+        if runs == 2:
+            self.seen.append(x)
 
     def row(self) -> dict:
-        slope = 0.0 if self.first else (1.0 - self.param) ** self.steps if self.kind == "ema" else 1.0
-        return {**self.head, "slope": slope, "at": self.at, "to": self.to}
+        kind, param = self.stage
+        slope = 0.0 if self.first else (1.0 - param) ** self.steps if kind == "ema" else 1.0
+        at, to = [[0.0] for _ in self.state[0]], [[v] for v in self.state[0].tolist()]
+        if len(self.state) == 2:
+            low, high = self.state
+            for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+                if a == b:
+                    at[j], to[j] = [-FAR, FAR], [a, a]
+                else:
+                    inputs = np.concatenate([x[:, j] for x in self.seen]).tolist()
+                    at[j], to[j] = _limit_points([0.0], [0.0], inputs, param)
+        return {**self.head, "slope": slope, "at": at, "to": to}
 
 
 def _limit_points(at: list[float], to: list[float], xs: Iterable[float], d: float) -> tuple[list[float], list[float]]:
@@ -269,6 +286,7 @@ def _limit_points(at: list[float], to: list[float], xs: Iterable[float], d: floa
     One step maps y to x + (y - x shrunk by d), so its corners lie at x - d and x + d; the
     map's corners move along and points inside straight pieces are dropped.
     """
+    reach = d * (1.0 + 1e-12)
     for x in xs:
         for corner in (x - d, x + d):
             i = bisect_left(to, corner)
@@ -281,13 +299,9 @@ def _limit_points(at: list[float], to: list[float], xs: Iterable[float], d: floa
             else:
                 at.insert(i, at[i - 1] + (corner - to[i - 1]))
             to.insert(i, corner)
-        reach = d * (1.0 + 1e-12)
         to = [x if abs(x - y) <= reach else y + d if y < x else y - d for y in to]
         for i in range(len(to) - 2, 0, -1):
-            flat_left, flat_right = to[i] == to[i - 1], to[i] == to[i + 1]
-            if flat_left and flat_right:
-                del at[i], to[i]
-            elif not flat_left and not flat_right:
+            if (to[i] == to[i - 1]) == (to[i] == to[i + 1]):
                 del at[i], to[i]
     return at, to
 
@@ -301,29 +315,76 @@ def _evaluate(at: list[float], to: list[float], slope: float, state: float) -> f
 
 
 def _advance(x, starts, lens, known, states, stages) -> np.ndarray:
-    """Filter all segments of a batch together; `states` is left at each segment's last value."""
+    """Filter all segments of a batch; each of `states` is left at its segments' last values.
+
+    A segment without a known state starts with its first value unchanged.
+    """
+    counts = -(-lens // PIECE)
+    owner = np.repeat(np.arange(len(lens)), counts)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    cuts = np.stack([starts[owner] + rank * PIECE, np.minimum(PIECE, lens[owner] - rank * PIECE)])
+    head, last = rank == 0, rank == counts[owner] - 1
+    fresh = head & ~known[owner]
+    for state, (kind, param) in zip(states, stages, strict=True):
+        entry = state[owner].copy()
+        if not head.all():
+            follow = _average_entries if kind == "ema" else _limit_entries
+            follow(x, cuts, rank, fresh, entry, param)
+        x, ends = _run(x, cuts, fresh, entry, kind, param)
+        state[:] = ends[last]
+    return x
+
+
+def _run(x, cuts, fresh, entry, kind, param) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces side by side, a step at a time; outputs and last states."""
+    starts, lens = cuts
     order = np.argsort(-lens, kind="stable")
-    starts, lens, known = starts[order], lens[order], known[order][:, None]
-    work = [s[order] for s in states]
-    out = np.empty_like(x)
+    starts, lens, fresh = starts[order], lens[order], fresh[order][:, None]
+    state, out = entry[order], np.empty_like(x)
     active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
     for j, m in enumerate(active):
         rows = starts[:m] + j
-        value = x[rows]
-        for s, (kind, param) in zip(work, stages, strict=True):
-            before = s[:m]
-            if kind == "ema":
-                after = param * value + (1.0 - param) * before
-            else:
-                after = before + np.clip(value - before, -param, param)
-            if j == 0:
-                after = np.where(known[:m], after, value)
-            s[:m] = after
-            value = after
-        out[rows] = value
-    for s, w in zip(states, work, strict=True):
-        s[order] = w
-    return out
+        value, before = x[rows], state[:m]
+        if kind == "ema":
+            after = param * value + (1.0 - param) * before
+        else:
+            after = before + np.clip(value - before, -param, param)
+        if j == 0:
+            after = np.where(fresh[:m], value, after)
+        state[:m] = after
+        out[rows] = after
+    ends = np.empty_like(state)
+    ends[order] = state
+    return out, ends
+
+
+def _average_entries(x, cuts, rank, fresh, entry, alpha) -> None:
+    """Entries of later pieces: what a run from 0 gives, plus the decayed entry before."""
+    entry[rank > 0] = 0.0
+    _, ends = _run(x, cuts, fresh, entry, "ema", alpha)
+    for r in range(1, rank.max() + 1):
+        here = np.flatnonzero(rank == r)
+        entry[here] = ends[here - 1]
+        ends[here] += (1.0 - alpha) ** cuts[1, here][:, None] * entry[here]
+
+
+def _limit_entries(x, cuts, rank, fresh, entry, limit) -> None:
+    """Entries of later pieces, from runs of the pieces before from both ends of the range."""
+    n = len(rank)
+    used = np.concatenate([x, entry[rank == 0]])
+    span = [np.full_like(entry, used.min(axis=0)), np.full_like(entry, used.max(axis=0))]
+    for end in span:
+        end[rank == 0] = entry[rank == 0]
+    both = np.concatenate(span)
+    _, ends = _run(x, np.tile(cuts, 2), np.tile(fresh, 2), both, "limit", limit)
+    met = (ends[:n] == ends[n:]).all(axis=1)
+    for r in range(1, rank.max() + 1):
+        here = np.flatnonzero(rank == r)
+        entry[here] = ends[here - 1]
+        apart = here[~met[here - 1]]
+        if len(apart):
+            _, again = _run(x, cuts[:, apart - 1], fresh[apart - 1], entry[apart - 1], "limit", limit)
+            entry[apart] = again
 
 
 def _segments(batches: Iterable[pa.RecordBatch]):

@@ -105,3 +105,18 @@ def test_newest_chunk_wins(spark):
     got = {r.frame_index: r.chunk for r in every_four.collect()}
     assert got == {t: min(t // 4, 2) for t in range(16)}
     assert every_four.filter(F.get("action", F.lit(0)) != F.col("chunk")).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 4, 256])
+@pytest.mark.parametrize("stages", [[("ema", 0.3), ("limit", 2.0)], [("limit", 50.0)], [("ema", 0.01)]])
+def test_pieces_match_the_sequential_filter(monkeypatch, piece, stages):
+    monkeypatch.setattr(S, "PIECE", piece)
+    data = [*episodes(dim=3).values(), np.tile(np.arange(30.0)[:, None] * -9, (1, 3))]
+    lens = np.array([len(d) for d in data])
+    starts = np.cumsum(lens) - lens
+    states = [np.zeros((len(data), 3)) for _ in stages]
+    got = S._advance(np.concatenate(data), starts, lens, np.zeros(len(data), bool), states, stages)
+    for i, (start, d) in enumerate(zip(starts, data, strict=True)):
+        want = sequential(d, stages)
+        np.testing.assert_allclose(got[start : start + len(d)], want, rtol=0, atol=1e-8)
+        np.testing.assert_allclose(states[-1][i], want[-1], atol=1e-8)

@@ -208,12 +208,7 @@ wa AS MATERIALIZED (SELECT scene, subtask, step, gripper, {sql_compose("n", "z",
 
 def _tables(fx):
     """Frames, object poses and segments of the demos."""
-    x = fx._e
-    length = sum((x(i) * x(i) for i in range(24, 27)), x(23) * x(23))
-    plate = F.array(*[x(i) for i in range(20, 23)], *[x(i) / F.sqrt(length) for i in range(23, 27)])
-    plates = fx._embedding().select("vec_id", plate.alias("plate"))
-    rows = fx.poses().join(plates, "vec_id")
-    rows = rows.withColumn("demo", F.col("demo_number"))
+    rows = fx.poses().withColumn("demo", F.col("demo_number"))
     frames = rows.select("demo", "t", F.col("eef_pose").alias("target_eef_pose"), "gripper")
     objects = rows.select(
         "demo",
@@ -221,7 +216,7 @@ def _tables(fx):
         F.inline(
             F.array(
                 F.struct(F.lit("bread_slice_1").alias("object"), F.col("object_pose").alias("pose")),
-                F.struct(F.lit("plate").alias("object"), F.col("plate").alias("pose")),
+                F.struct(F.lit("plate").alias("object"), F.col("plate_pose").alias("pose")),
             )
         ),
     )

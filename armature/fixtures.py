@@ -179,7 +179,7 @@ class Fixtures:
         )
 
     def poses(self) -> DataFrame:
-        """Effector and object poses (x, y, z, w, x, y, z) with unit quaternions."""
+        """Effector, object and plate poses (x, y, z, w, x, y, z) with unit quaternions."""
         e = self._e
 
         def quat(first: int) -> Column:
@@ -194,6 +194,7 @@ class Fixtures:
             F.floor(F.col("vec_id") / 20).cast("long").alias("t"),
             F.concat(F.array(e(1), e(2), e(3)), quat(7)).alias("eef_pose"),
             F.concat(F.array(e(4), e(5), e(6)), quat(13)).alias("object_pose"),
+            F.concat(F.array(e(20), e(21), e(22)), quat(23)).alias("plate_pose"),
             (F.abs(e(17)) * F.lit(4.0)).alias("gripper"),
         )
 

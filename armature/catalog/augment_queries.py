@@ -226,7 +226,7 @@ def _tables(fx):
     return frames, objects, segs
 
 
-def _warped(fx):
+def _scenes_and_pool(fx):
     frames, objects, segs = _tables(fx)
     pool = settled(G.segment_pool(frames, objects, segs), "segment-pool")
     names = F.create_map(F.lit("bread_slice_1"), F.lit(0), F.lit("plate"), F.lit(1))
@@ -237,7 +237,11 @@ def _warped(fx):
     scenes = G.new_scenes(base, 3, draw=md5_draw(7, "demo", "subtask", "copy")).withColumn(
         "scene", F.concat_ws("/", F.col("demo").cast("string"), F.col("copy").cast("string"))
     )
-    scenes = settled(scenes, "scenes")
+    return settled(scenes, "scenes"), pool
+
+
+def _warped(fx):
+    scenes, pool = _scenes_and_pool(fx)
     starts = pool.filter("step = 0").select("object_ref", F.col("demo").alias("segment"), "object_pose")
     chosen = N.choose_segments(
         scenes, starts, 3, "nearest_neighbor_object", draw=_choice_draw(), scene_id="scene", segment_id="segment"
@@ -338,6 +342,21 @@ def new_scenes(fx):
     return scenes.select(scene.alias("scene"), "subtask", *spread("object_pose", "p", 7))
 
 
+@query(
+    "one_source_per_scene",
+    f"""WITH {CHAIN}, f AS (SELECT scene, demo FROM ch WHERE subtask = 0)
+    SELECT f.scene, CASE WHEN sc.subtask = 0 THEN 'bread_slice_1' ELSE 'plate' END AS object_ref, f.demo FROM sc JOIN f USING (scene)""",
+)
+def one_source_per_scene(fx):
+    """The source chosen for the first subtask serves the whole trajectory."""
+    scenes, pool = _scenes_and_pool(fx)
+    starts = pool.filter("step = 0").select("object_ref", F.col("demo").alias("segment"), "object_pose")
+    chosen = N.choose_per_trajectory(
+        scenes, starts, "bread_slice_1", k=3, strategy="nearest_neighbor_object", draw=_choice_draw()
+    )
+    return chosen.withColumnRenamed("segment", "demo")
+
+
 @query("random_sources")
 def random_sources(fx):
     """One uniformly drawn source per scene and object."""

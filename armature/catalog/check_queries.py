@@ -303,6 +303,26 @@ def missing_files(fx):
     return A.missing_files(files, files.select("dataset").distinct())
 
 
+@query(
+    "missing_fields",
+    """WITH f AS (SELECT p_partkey // 6 AS demo, ['actions', 'obs/joint_pos', 'obs/front', 'obs/wrist', 'obs/top'][p_size % 5 + 1] AS field FROM part),
+    r AS (SELECT demo, unnest(['actions', 'obs/joint_pos', 'obs/front', 'obs/wrist']) AS missing FROM (SELECT DISTINCT demo FROM f))
+    SELECT demo, missing FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.demo = r.demo AND f.field = r.missing)""",
+)
+def missing_fields(fx):
+    """Demos of six parts each; a part's size names the field it holds."""
+    names = F.array(*[F.lit(n) for n in ("actions", "obs/joint_pos", "obs/front", "obs/wrist", "obs/top")])
+    fields = fx.table("part").select(
+        F.floor(F.col("p_partkey") / 6).alias("demo"), F.get(names, F.col("p_size") % 5).alias("field")
+    )
+    return A.missing_files(fields, fields.select("demo").distinct(), A.DEMO_FIELDS, "demo", "field")
+
+
+@query("list_episodes", f"WITH {Q.TWO_DATASETS} SELECT DISTINCT dataset, episode_index FROM ab")
+def list_episodes(fx):
+    return W.list_episodes(fx.two_datasets())
+
+
 @query(
     "success_rate",
     f"""SELECT o_orderpriority AS task, o_orderstatus AS scenario, count(*) AS trials,

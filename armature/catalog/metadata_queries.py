@@ -47,7 +47,7 @@ def _documents(fx):
 
 
 def _get(path: str) -> Column:
-    return F.get_json_object("info", path)
+    return F.try_variant_get(F.col("_info"), path, "string")
 
 
 _FRONT = "$.features['observation.images.front'].info"
@@ -68,7 +68,7 @@ _WRIST = "$.features['observation.images.wrist'].info"
       CASE WHEN p_partkey % 13 <> 0 THEN '3' END AS wrist_channels, 'arm' AS robot_type, '[6]' AS action_shape FROM part""",
 )
 def patch_info(fx):
-    patched = D.patch_info(_documents(fx))
+    patched = D.patch_info(_documents(fx)).withColumn("_info", F.parse_json("info"))
     return patched.select(
         "dataset",
         F.size("changes").alias("changes"),
@@ -112,7 +112,7 @@ def patch_info_log(fx):
     'data/chunk-{{episode_chunk:03d}}/episode_{{episode_index:06d}}.parquet' AS data_path, '{CAMERA_FIRST_PATH}' AS video_path FROM part""",
 )
 def set_codec_and_paths(fx):
-    done = D.set_episode_paths(D.set_codec(_documents(fx)))
+    done = D.set_episode_paths(D.set_codec(_documents(fx))).withColumn("_info", F.parse_json("info"))
     return done.select(
         "dataset",
         _get(f"{_FRONT}['video.codec']").alias("front"),
@@ -122,6 +122,36 @@ def set_codec_and_paths(fx):
     )
 
 
+_FEATURES = (
+    '{"action": {"dtype": "float32", "shape": [6]}, "observation.images.front": {"dtype": "video", "shape": [480, 640, 3]}, '
+    '"observation.images.wrist": {"dtype": "video", "shape": [480, 640, 3]}}'
+)
+
+
+@query(
+    "info_document",
+    f"""WITH {Q.TWO_DATASETS} SELECT dataset, 'v2.1' AS version, '30' AS fps, CAST(count(DISTINCT episode_index) AS VARCHAR) AS episodes,
+    CAST(count(*) AS VARCHAR) AS frames, CAST(2 * count(DISTINCT episode_index) AS VARCHAR) AS videos, 2 AS video_features,
+    CAST(count(DISTINCT episode_index // 1000) AS VARCHAR) AS chunks, '{CHUNK_FIRST_PATH}' AS video_path FROM ab GROUP BY dataset""",
+)
+def info_document(fx):
+    """Documents written from the totals of two datasets with two cameras."""
+    totals = A.dataset_info(fx.two_datasets(), video_features=2)
+    features = totals.select("dataset", F.lit(_FEATURES).alias("features"))
+    docs = D.info_document(totals, features).withColumn("_info", F.parse_json("info"))
+    return docs.select(
+        "dataset",
+        _get("$.codebase_version").alias("version"),
+        _get("$.fps").alias("fps"),
+        _get("$.total_episodes").alias("episodes"),
+        _get("$.total_frames").alias("frames"),
+        _get("$.total_videos").alias("videos"),
+        D.video_feature_count(F.get_json_object("info", "$.features")).alias("video_features"),
+        _get("$.total_chunks").alias("chunks"),
+        _get("$.video_path").alias("video_path"),
+    )
+
+
 VIDEO_PATHS = """
 vp AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '.cache' WHEN p_size % 2 = 0 THEN 'observation.images.scene' ELSE 'observation.images.wrist' END AS camera,
   CASE WHEN p_partkey % 19 = 0 THEN 'old' ELSE printf('chunk-%03d', p_partkey // 100) END AS chunk,

@@ -7,6 +7,7 @@ returns the written table.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,24 @@ def _events(fx, late: str = S.LATE) -> DataFrame:
 def _run(fx, df: DataFrame, label: str) -> DataFrame:
     S.use_rocksdb(fx.spark)
     path, state = new_dir(fx.spark, label), new_dir(fx.spark, f"{label}-state")
-    S.write_stream(df, path, state).awaitTermination()
+    with _state_partitions(fx.spark):
+        S.write_stream(df, path, state).awaitTermination()
     return fx.spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _state_partitions(spark):
+    """On a local session as many state partitions as cores; a cluster's setting is left alone."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _robot():
     return (F.col("user_id") % 8).cast("string").alias("robot")
 
@@ -203,6 +218,19 @@ def stream_resume(fx):
     return fx.spark.read.schema(live.schema).parquet(path)
 
 
+@query(
+    "stream_flush",
+    "SELECT event_id // 100 AS flush_block, count(*) AS samples, min(value) AS low FROM events GROUP BY ALL",
+)
+def stream_flush(fx):
+    """Micro-batches written with their flush block, counted per block."""
+    path = new_dir(fx.spark, "stream-flush")
+    live = _events(fx).select(F.col("event_id").alias("t"), "value")
+    S.flush_stream(live, path, new_dir(fx.spark, "stream-flush-state")).awaitTermination()
+    rows = fx.spark.read.schema("t long, value double, flush_block long").parquet(path)
+    return rows.groupBy("flush_block").agg(F.count(F.lit(1)).alias("samples"), F.min("value").alias("low"))
+
+
 @query(
     "flush_blocks",
     f"WITH {Q.FRAMES} SELECT dataset, episode_index, frame_index // 20 AS flush_block, count(*) AS samples FROM fx GROUP BY ALL",

@@ -252,6 +252,11 @@ def limit_velocity(fx):
     return _y(S.limit_velocity(_actions(fx), "action", longest=fx.longest), "limited")
 
 
+@query("smooth_custom", _smoothed_sql([("ema", 0.55), ("limit", 7.5)]))
+def smooth_custom(fx):
+    return _y(S.smooth(_actions(fx), "action", "custom", alpha=0.55, max_delta=7.5, longest=fx.longest), "smoothed")
+
+
 @query("smooth_light", _smoothed_sql([("ema", 0.7), ("limit", 10.0)]))
 def smooth_light(fx):
     return _y(S.smooth(_actions(fx), "action", "light", longest=fx.longest), "smoothed")

@@ -252,6 +252,11 @@ def renumber(
     ).drop("_block", "_before", "_episode", "_offset", "_length", "_frame")
 
 
+def list_episodes(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Available episodes in order."""
+    return df.select(*keys).distinct().orderBy(*keys)
+
+
 def frame_gaps(
     df: DataFrame,
     fps: float = FPS,

@@ -11,7 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armature.schema import CAMERA_FIRST_PATH, CHUNK_FIRST_PATH, EPISODE_DATA_PATH, JOINTS, MODALITY, V3, V3_ONLY_FIELDS, V21
+from armature.schema import (
+    CAMERA_FIRST_PATH,
+    CHUNK_EPISODES,
+    CHUNK_FIRST_PATH,
+    EPISODE_DATA_PATH,
+    FPS,
+    JOINTS,
+    MODALITY,
+    V3,
+    V3_ONLY_FIELDS,
+    V21,
+)
 
 VARIANTS = "map<string,variant>"
 
@@ -155,6 +166,31 @@ def _logged(field: Column, old: Column, new: Column) -> Column:
     return F.struct(field.alias("field"), old.alias("old"), new.alias("new"))
 
 
+def info_document(totals: DataFrame, features: DataFrame, fps: int = FPS, robot_type: str = "") -> DataFrame:
+    """Info documents of version 2.1 from dataset totals and (dataset, features) JSON text."""
+    joined = totals.join(features, "dataset")
+    parsed = F.parse_json("features")
+    counts = [F.col(c) for c in ("total_episodes", "total_frames", "total_tasks", "total_videos", "total_chunks")]
+    fields = F.struct(
+        F.lit(V21).alias("codebase_version"),
+        F.lit(robot_type).alias("robot_type"),
+        F.lit(fps).alias("fps"),
+        *counts,
+        F.lit(CHUNK_EPISODES).alias("chunks_size"),
+        F.lit(EPISODE_DATA_PATH).alias("data_path"),
+        F.lit(CHUNK_FIRST_PATH).alias("video_path"),
+        parsed.alias("features"),
+    )
+    return joined.select("dataset", F.to_json(fields).alias("info"))
+
+
+def video_feature_count(features: Column | str) -> Column:
+    """Number of features of type video in a JSON feature map."""
+    text = F.col(features) if isinstance(features, str) else features
+    entries = F.transform_values(_object(F.parse_json(text)), lambda _, v: _text(_field(_object(v), "dtype")))
+    return F.size(F.map_filter(entries, lambda _, kind: F.coalesce(kind == "video", F.lit(False))))
+
+
 def set_episode_paths(docs: DataFrame, doc: str = "info") -> DataFrame:
     """Data and video paths of the layout with one file per episode."""
     top = _object(F.parse_json(F.col(doc)))

@@ -96,6 +96,14 @@ def choose_segments(
     return lookup_join(drawn, numbered, [on, "_number"], "inner").select(scene_id, on, segment_id)
 
 
+def choose_per_trajectory(
+    scenes: DataFrame, segs: DataFrame, first_object: str, on: str = "object_ref", scene_id: str = "scene", **kw
+) -> DataFrame:
+    """One source for a whole scene: chosen for its first subtask's object, used for all."""
+    chosen = choose_segments(scenes.filter(F.col(on) == first_object), segs, on=on, scene_id=scene_id, **kw)
+    return scenes.select(scene_id, on).join(chosen.drop(on), scene_id)
+
+
 def _rank(df: DataFrame, k: int, weights: tuple[float, float], keep: tuple[str, ...] = ()) -> DataFrame:
     """Top k members within a row."""
     measured = F.transform(

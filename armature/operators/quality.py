@@ -263,14 +263,21 @@ def missing_required(required: DataFrame, present: DataFrame, on: Sequence[str])
 REQUIRED_FILES = (("meta/info.json",), ("meta/stats.json",), ("meta/tasks.json", "meta/tasks.parquet"))
 
 
-def missing_files(files: DataFrame, datasets: DataFrame, required=REQUIRED_FILES) -> DataFrame:
-    """Rows (dataset, missing) for each required file none of whose names is listed."""
+# Files a training loader asks for, and fields a recorded demo must hold.
+TRAINING_FILES = (("meta/modality.json",), ("meta/info.json",), ("meta/episodes.jsonl",), ("meta/tasks.jsonl",))
+DEMO_FIELDS = (("actions",), ("obs/joint_pos",), ("obs/front",), ("obs/wrist",))
+
+
+def missing_files(
+    files: DataFrame, owners: DataFrame, required=REQUIRED_FILES, owner: str = "dataset", name: str = "path"
+) -> DataFrame:
+    """Rows (owner, missing) for each required file or field none of whose names is listed."""
     wanted = {name: " or ".join(names) for names in required for name in names}
     table = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
-    have = files.select("dataset", F.try_element_at(table, F.col("path")).alias("missing")).filter("missing is not null")
+    have = files.select(owner, F.try_element_at(table, F.col(name)).alias("missing")).filter("missing is not null")
     every = F.array(*[F.lit(" or ".join(names)) for names in required])
     return missing_required(
-        datasets.select("dataset", F.explode(every).alias("missing")), have.distinct(), ["dataset", "missing"]
+        owners.select(owner, F.explode(every).alias("missing")), have.distinct(), [owner, "missing"]
     )
 
 

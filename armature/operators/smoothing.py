@@ -69,11 +69,24 @@ def limit_velocity(
     return recurrence(df, col, out, [("limit", max_delta)], keys, **kw)
 
 
-def smooth(df: DataFrame, col: str, preset: str = "medium", out: str = "smoothed", keys=KEYS, **kw) -> DataFrame:
-    """Moving average, then limiter, with the parameters of a preset."""
-    if preset not in SMOOTHING_PRESETS:
-        raise ValueError(f"unknown preset {preset!r}, expected one of {sorted(SMOOTHING_PRESETS)}")
-    alpha, max_delta, _ = SMOOTHING_PRESETS[preset]
+def smooth(
+    df: DataFrame,
+    col: str,
+    preset: str = "medium",
+    out: str = "smoothed",
+    keys: Sequence[str] = KEYS,
+    alpha: float | None = None,
+    max_delta: float | None = None,
+    **kw,
+) -> DataFrame:
+    """Moving average, then limiter, with the parameters of a preset, or of one's own ("custom")."""
+    if preset == "custom":
+        if alpha is None or max_delta is None:
+            raise ValueError("a custom preset needs alpha and max_delta")
+    elif preset in SMOOTHING_PRESETS:
+        alpha, max_delta, _ = SMOOTHING_PRESETS[preset]
+    else:
+        raise ValueError(f"unknown preset {preset!r}, expected custom or one of {sorted(SMOOTHING_PRESETS)}")
     return recurrence(df, col, out, [("ema", alpha), ("limit", max_delta)], keys, **kw)
 
 

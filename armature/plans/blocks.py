@@ -7,6 +7,9 @@ is either copied there (neighbours) or carried by a table with one row per block
 (running totals). A block table is `BLOCK` times smaller than the frames: 10**12 frames
 give 15 million block rows, so even the episode holding a third of them is a short sort.
 
+Keys and positions are never null in the canonical tables, and positions are unique per
+key; a null order value is ranked first.
+
 `longest` is an upper bound on the positions in one episode. When it is known to fit in
 one block the plain window is planned, without copies or carry.
 """
@@ -165,7 +168,7 @@ def position(
     if bucket is None:
         spec = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(spec) - 1).cast("long"))
-    sliced = df.withColumn("_bucket", bucket)
+    sliced = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-(2**62))))
     counts = sliced.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket")
     shift = counts.select(

@@ -273,6 +273,20 @@ def flush_blocks(df: DataFrame, every: int = 100, pos: str = "t") -> DataFrame:
     return df.withColumn("flush_block", F.floor(F.col(pos) / every).cast("long"))
 
 
+def flush_stream(df: DataFrame, path: str, checkpoint: str, every: int = 100, pos: str = "t"):
+    """Samples with their flush block, one folder per micro-batch.
+
+    A micro-batch that runs again after a failure overwrites its own folder, so no row is
+    written twice.
+    """
+
+    def flush(batch: DataFrame, epoch: int) -> None:
+        flush_blocks(batch, every, pos).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = df.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

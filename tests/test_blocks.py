@@ -53,7 +53,7 @@ def test_running(frames, kind, inclusive):
 
 def test_position_in_buckets(frames):
     plain = B.position(frames, KEYS, ["value", "frame_index"], None, "n")
-    value = F.coalesce(F.floor(F.col("value") / 4), F.lit(-1)).cast("long")
+    value = F.floor(F.col("value") / 4).cast("long")
     bucketed = B.position(frames, KEYS, ["value", "frame_index"], value, "n")
     cols = [*KEYS, "frame_index", "n"]
     assert rows_of(plain, *cols) == rows_of(bucketed, *cols)

@@ -72,6 +72,11 @@ def test_worked_examples(spark):
     values = {(r.episode_index, r.frame_index): r.smoothed[0] for r in got.collect()}
     assert [round(values[0, t], 9) for t in range(3)] == [0.0, 4.0, 6.4]
     assert values[1, 1] == 5.0
+    custom = S.smooth(table(spark, data), "action", "custom", dim=1, alpha=0.4, max_delta=5.0)
+    assert sorted(map(str, custom.collect())) == sorted(map(str, got.collect()))
+    for bad in ("custom", "strong"):
+        with pytest.raises(ValueError):
+            S.smooth(table(spark, data), "action", bad, dim=1)
 
 
 def test_limited_steps_stay_below_the_limit(spark):

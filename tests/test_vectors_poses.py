@@ -188,6 +188,13 @@ def test_tick_round_trip(spark):
     assert [r.ticks for r in again.collect()] == [868.0, 2916.0, 1289.0]
 
 
+def test_linear_interpolation_and_degrees(spark):
+    df = spark.createDataFrame([([0.0, 10.0], [4.0, 20.0])], "a array<double>, b array<double>")
+    assert df.select(V.lerp("a", "b", F.lit(0.25), 2)).first()[0] == [1.0, 12.5]
+    half = df.select(V.to_degrees(F.array(F.lit(math.pi)), 1), V.to_radians(F.array(F.lit(180.0)), 1)).first()
+    assert half[0] == [180.0] and half[1] == [math.pi]
+
+
 def test_joint_names(spark):
     df = spark.createDataFrame([([float(i) for i in range(6)],)], "v array<double>")
     rows = O.name_joints(df, "v").collect()

@@ -199,7 +199,7 @@ def _apply(df, col, out, stages, keys, pos, dim, entry_col=None) -> DataFrame:
                 known[0] = True
                 for s, last in zip(states, state, strict=True):
                     s[0] = last
-            y = _advance(x, starts, lens, known, states, stages)
+            y = advance(x, starts, lens, known, states, stages)
             for i, s in enumerate(states):
                 state[i] = s[-1]
             kept = [batch.column(name) for name in names]
@@ -273,7 +273,7 @@ class _BlockMap:
         runs, n = len(self.state), len(x)
         known = np.full(runs, not self.first or self.steps > 0)
         starts, lens = np.arange(runs) * n, np.full(runs, n)
-        _advance(np.tile(x, (runs, 1)), starts, lens, known, [self.state], [self.stage])
+        advance(np.tile(x, (runs, 1)), starts, lens, known, [self.state], [self.stage])
         self.steps += n
         if runs == 2:
             self.seen.append(x)
@@ -327,7 +327,7 @@ def _evaluate(at: list[float], to: list[float], slope: float, state: float) -> f
     return float(np.interp(state, at, to))
 
 
-def _advance(x, starts, lens, known, states, stages) -> np.ndarray:
+def advance(x, starts, lens, known, states, stages) -> np.ndarray:
     """Filter all segments of a batch; each of `states` is left at its segments' last values.
 
     A segment without a known state starts with its first value unchanged.

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from armature.operators.smoothing import advance
 from armature.plans.blocks import Fold, running
 from armature.schema import JOINT_SCHEMES, SMOOTHING_ALPHA, SMOOTHING_MAX_DELTA
 
 LATE = "10 seconds"
-MICROS_PER_BLOCK = 3_600_000_000
 
 
 def read_telemetry(
@@ -65,32 +65,21 @@ class OnlineSmoother(StatefulProcessor):
         self.last = handle.getValueState("last", "order array<long>, ema array<double>, limited array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["order_ts", "order_id"], kind="stable", ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["order_ts", "order_id"], kind="stable")
         known = self.last.exists()
-        seen, smooth, limited = None, None, None
         if known:
-            state = self.last.get()
-            seen, smooth, limited = tuple(state[0]), np.array(state[1]), np.array(state[2])
-        kept, out = [], []
-        for i, (ts, number, joints) in enumerate(
-            zip(batch["order_ts"], batch["order_id"], batch["joints"], strict=True)
-        ):
-            order = (int(ts), int(number))
-            if seen is not None and order <= seen:
-                continue
-            x = np.asarray(joints, dtype=float)
-            smooth = x if smooth is None else self.alpha * x + (1.0 - self.alpha) * smooth
-            limited = smooth if limited is None else limited + np.clip(smooth - limited, -self.max_delta, self.max_delta)
-            seen = order
-            kept.append(i)
-            out.append(limited.tolist())
-        if kept:
-            self.last.update(([*seen], smooth.tolist(), limited.tolist()))
-            result = batch.loc[kept, ["order_id"]].reset_index(drop=True)
-            result.insert(0, "robot", key[0])
-            result["smoothed"] = out
-            yield result
+            (ts, number), *vectors = self.last.get()
+            newer = (batch["order_ts"] > ts) | ((batch["order_ts"] == ts) & (batch["order_id"] > number))
+            batch = batch[newer]
+        if batch.empty:
+            return
+        x = np.array(batch["joints"].tolist(), dtype=float)
+        states = [np.array([v], dtype=float) for v in vectors] if known else [np.zeros((1, x.shape[1])) for _ in "ab"]
+        stages = [("ema", self.alpha), ("limit", self.max_delta)]
+        smoothed = advance(x, np.array([0]), np.array([len(x)]), np.array([known]), states, stages)
+        newest = batch.iloc[-1]
+        self.last.update(([int(newest["order_ts"]), int(newest["order_id"])], *[s[0].tolist() for s in states]))
+        yield pd.DataFrame({"robot": key[0], "order_id": batch["order_id"].to_numpy(), "smoothed": smoothed.tolist()})
 
     def close(self) -> None:
         pass
@@ -172,26 +161,37 @@ class EpisodeRecorder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["order_ts", "order_id"], kind="stable")
-        recording, episode, frames, first = False, 0, 0, 0
-        if self.phase.exists():
-            recording, episode, frames, first = self.phase.get()
-        done = []
-        for number, control in zip(batch["order_id"], batch["key"], strict=True):
-            if control == START:
-                if not recording:
-                    recording, frames, first = True, 0, int(number)
-            elif control in (SUCCESS, FAIL, QUIT, RERECORD):
-                if recording:
-                    if control in (SUCCESS, FAIL):
-                        verdict = "success" if control == SUCCESS else "fail"
-                        done.append((key[0], episode, frames, first, verdict))
-                    episode += 1
-                recording = False
-            elif recording:
-                frames += 1
-        self.phase.update((bool(recording), int(episode), int(frames), int(first)))
-        if done:
-            yield pd.DataFrame(done, columns=["robot", "episode", "frames", "first_id", "verdict"])
+        recording, episode, frames, first = self.phase.get() if self.phase.exists() else (False, 0, 0, 0)
+        pressed = batch["key"].where(batch["key"].isin([START, SUCCESS, FAIL, QUIT, RERECORD]))
+        before = pressed.ffill().shift(1).fillna(START if recording else QUIT)
+        on = before == START
+        starts = (pressed == START) & ~on
+        number = episode + starts.cumsum() - (0 if recording else 1)
+        seen = pd.DataFrame(
+            {
+                "episode": number,
+                "frame": on & batch["key"].isna(),
+                "first": batch["order_id"].where(starts),
+                "verdict": pressed.where(on).map({SUCCESS: "success", FAIL: "fail"}),
+            }
+        )[on | starts]
+        done = seen.groupby("episode").agg(frames=("frame", "sum"), first_id=("first", "min"), verdict=("verdict", "first"))
+        if recording and episode in done.index:
+            done.loc[episode, "frames"] += frames
+            done.loc[episode, "first_id"] = first
+        last = pressed.dropna()
+        still_on = recording if last.empty else bool(last.iloc[-1] == START)
+        current = int(number.iloc[-1]) if len(number) else episode
+        if still_on:
+            open_ = done.loc[current] if current in done.index else None
+            carried = (frames, first) if open_ is None else (int(open_["frames"]), int(open_["first_id"]))
+            self.phase.update((True, current, *carried))
+        else:
+            self.phase.update((False, current + 1, 0, 0))
+        ended = done[done["verdict"].notna()].reset_index()
+        if len(ended):
+            ended.insert(0, "robot", key[0])
+            yield ended.astype({"frames": "int64", "first_id": "int64"})
 
     def close(self) -> None:
         pass

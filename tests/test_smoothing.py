@@ -120,7 +120,7 @@ def test_pieces_match_the_sequential_filter(monkeypatch, piece, stages):
     lens = np.array([len(d) for d in data])
     starts = np.cumsum(lens) - lens
     states = [np.zeros((len(data), 3)) for _ in stages]
-    got = S._advance(np.concatenate(data), starts, lens, np.zeros(len(data), bool), states, stages)
+    got = S.advance(np.concatenate(data), starts, lens, np.zeros(len(data), bool), states, stages)
     for i, (start, d) in enumerate(zip(starts, data, strict=True)):
         want = sequential(d, stages)
         np.testing.assert_allclose(got[start : start + len(d)], want, rtol=0, atol=1e-8)

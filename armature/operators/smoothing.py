@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,8 @@ from armature.schema import (
 
 Stage = tuple[str, float]
 VECTOR = T.ArrayType(T.DoubleType())
-#: Rows that advance as one piece.
-PIECE = 256
+#: Rows that advance as one piece, and rounds in which the limiter's ranges may close.
+PIECE, ROUNDS = 256, 4
 #: Beyond any joint position.
 FAR = 1e300
 
@@ -153,8 +154,8 @@ def recurrence(
     lanes = V.lanes(col, dim)
     spans = df.groupBy(*keys).agg(
         F.max(pos).alias("_last"),
-        F.array(*[F.min(x) for x in lanes]).alias("_low"),
-        F.array(*[F.max(x) for x in lanes]).alias("_high"),
+        F.min(F.array_min(F.array(*lanes))).alias("_low"),
+        F.max(F.array_max(F.array(*lanes))).alias("_high"),
     )
     many = settled(spans.filter(F.col("_last") >= size).drop("_last"), "long-episodes")
     if many.isEmpty():
@@ -167,12 +168,12 @@ def recurrence(
         last = i == len(stages) - 1
         target = out if last else f"_stage_{i}"
         entries = _entries(long, source, stage, keys, pos, dim)
-        joined = long.join(entries, [*keys, "_block"], "left")
+        joined = long.drop("_low", "_high").join(entries, [*keys, "_block"], "left")
         done = _apply(joined, source, target, [stage], [*keys, "_block"], pos, dim, "_entry").drop("_entry")
-        long = done if last else settled(done, "smoothed-rows")
+        long = done if last else lookup_join(settled(done, "smoothed-rows"), many, keys, "inner", spread=[pos])
         scratch += [] if last else [target]
         source = target
-    return _apply(short, col, out, stages, keys, pos, dim).unionByName(long.drop("_block", "_low", "_high", *scratch))
+    return _apply(short, col, out, stages, keys, pos, dim).unionByName(long.drop("_block", *scratch))
 
 
 def _sorted(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -193,8 +194,8 @@ def _apply(df, col, out, stages, keys, pos, dim, entry_col=None) -> DataFrame:
             states = [np.zeros((len(starts), dim)) for _ in stages]
             if entry_col is not None:
                 column = batch.column(entry_col).take(pa.array(starts))
-                known = ~np.asarray(column.is_null())
-                states[0][known] = _matrix(column.drop_null(), dim)
+                known = np.asarray(pc.list_value_length(column)) > 0
+                states[0][known] = np.asarray(column.flatten()).reshape(-1, dim)
             if resumed:
                 known[0] = True
                 for s, last in zip(states, state, strict=True):
@@ -205,7 +206,12 @@ def _apply(df, col, out, stages, keys, pos, dim, entry_col=None) -> DataFrame:
             kept = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays([*kept, _vectors(y)], names=[*names, out])
 
-    return _sorted(df, keys, pos).mapInArrow(run, schema)
+    ordered = _sorted(df, keys, pos)
+    if entry_col is not None:
+        # Needed once per block. Empty lists, as null lists make Arrow writing quadratic.
+        once = F.when((F.col("_step") == 1) & F.col(entry_col).isNotNull(), F.col(entry_col))
+        ordered = ordered.withColumn(entry_col, once.otherwise(F.array().cast(VECTOR)))
+    return ordered.mapInArrow(run, schema)
 
 
 def _entries(df, col, stage, keys, pos, dim) -> DataFrame:
@@ -229,8 +235,8 @@ def _entries(df, col, stage, keys, pos, dim) -> DataFrame:
                     if current is not None:
                         done.append(current.row())
                     head = {k: batch.column(k)[start].as_py() for k in [*keys, "_block"]}
-                    span = [np.array(batch.column(c)[start].as_py()) for c in ("_low", "_high")]
-                    current = _BlockMap(head, stage, *span)
+                    span = [batch.column(c)[start].as_py() for c in ("_low", "_high")]
+                    current = _BlockMap(head, stage, dim, *span)
                 current.extend(x[start : start + length])
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=map_arrow)
@@ -260,12 +266,12 @@ class _BlockMap:
     get the whole piecewise map.
     """
 
-    def __init__(self, head: dict, stage: Stage, low: np.ndarray, high: np.ndarray):
+    def __init__(self, head: dict, stage: Stage, dim: int, low: float, high: float):
         self.head, self.stage = head, stage
         self.first = head["_block"] == 0
-        slack = 1e-9 * (1.0 + np.abs(low) + np.abs(high))
-        ends = [low - slack, high + slack]
-        self.state = np.stack(ends) if stage[0] == "limit" and not self.first else np.zeros((1, len(low)))
+        slack = 1e-9 * (1.0 + abs(low) + abs(high))
+        ends = [np.full(dim, low - slack), np.full(dim, high + slack)]
+        self.state = np.stack(ends) if stage[0] == "limit" and not self.first else np.zeros((1, dim))
         self.steps = 0
         self.seen: list[np.ndarray] = []
 
@@ -382,22 +388,27 @@ def _average_entries(x, cuts, rank, fresh, entry, alpha) -> None:
 
 
 def _limit_entries(x, cuts, rank, fresh, entry, limit) -> None:
-    """Entries of later pieces, from runs of the pieces before from both ends of the range."""
-    n = len(rank)
+    """Entries of later pieces, from runs of the pieces before from both ends of a range.
+
+    The range starts as that of all values. The ends of a run bound the entry of the next
+    piece, so ranges narrow with every round, for all pieces at once; the few that have not
+    closed after `ROUNDS` are followed one after the other.
+    """
+    later = np.flatnonzero(rank > 0)
     used = np.concatenate([x, entry[rank == 0]])
-    span = [np.full_like(entry, used.min(axis=0)), np.full_like(entry, used.max(axis=0))]
-    for end in span:
-        end[rank == 0] = entry[rank == 0]
-    both = np.concatenate(span)
-    _, ends = _run(x, np.tile(cuts, 2), np.tile(fresh, 2), both, "limit", limit)
-    met = (ends[:n] == ends[n:]).all(axis=1)
-    for r in range(1, rank.max() + 1):
-        here = np.flatnonzero(rank == r)
-        entry[here] = ends[here - 1]
-        apart = here[~met[here - 1]]
-        if len(apart):
-            _, again = _run(x, cuts[:, apart - 1], fresh[apart - 1], entry[apart - 1], "limit", limit)
-            entry[apart] = again
+    low, high = entry.copy(), entry.copy()
+    low[later], high[later] = used.min(axis=0), used.max(axis=0)
+    for _ in range(ROUNDS):
+        _, ends = _run(x, np.tile(cuts, 2), np.tile(fresh, 2), np.concatenate([low, high]), "limit", limit)
+        low[later], high[later] = ends[later - 1], ends[len(rank) + later - 1]
+        if (low == high).all():
+            break
+    entry[later] = low[later]
+    closed = (low == high).all(axis=1)
+    for r in range(1, rank.max() + 1 if not closed.all() else 0):
+        open_ = np.flatnonzero((rank == r) & ~closed)
+        if len(open_):
+            _, entry[open_] = _run(x, cuts[:, open_ - 1], fresh[open_ - 1], entry[open_ - 1], "limit", limit)
 
 
 def _segments(batches: Iterable[pa.RecordBatch]):

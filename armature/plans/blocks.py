@@ -127,9 +127,9 @@ def running(
         *keys, "_block", *[f.carried(F.col(f"_total_{n}"), ahead).alias(f"_carry_{n}") for n, f in folds.items()]
     )
     window = Window.partitionBy(*keys, "_block").orderBy(pos)
-    joined = blocked.join(carry, [*keys, "_block"], "inner")
-    inside = joined.withColumns({f"_in_{n}": f.inside(window) for n, f in folds.items()})
-    out = inside.withColumns({n: f.combine(F.col(f"_in_{n}"), F.col(f"_carry_{n}")) for n, f in folds.items()})
+    inside = blocked.withColumns({f"_in_{n}": f.inside(window) for n, f in folds.items()})
+    joined = inside.join(carry, [*keys, "_block"], "inner")  # in the order the window left
+    out = joined.withColumns({n: f.combine(F.col(f"_in_{n}"), F.col(f"_carry_{n}")) for n, f in folds.items()})
     scratch = [c for n in folds for c in (f"_in_{n}", f"_carry_{n}")]
     return out.drop("_block", *scratch)
 
@@ -177,10 +177,8 @@ def position(
         F.coalesce(F.sum("_rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = sliced.join(shift, [*keys, "_bucket"], "inner").withColumn(
-        out, (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long")
-    )
-    return ranked.drop("_bucket", "_shift")
+    ranked = sliced.withColumn("_rank", F.row_number().over(inside)).join(shift, [*keys, "_bucket"], "inner")
+    return ranked.withColumn(out, (F.col("_rank") - 1 + F.col("_shift")).cast("long")).drop("_bucket", "_rank", "_shift")
 
 
 def attach(

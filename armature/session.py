@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,31 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python, once per application.
+
+    Functions of the package that run in Python workers are pickled by name, so the workers must be able to
+    import it wherever they were started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_armature_sent", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="armature-"), "armature.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._armature_sent = True
+
+
+#: The fallback folders of local sessions, by application.
+_fallbacks: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and streaming checkpoints.
 
@@ -36,9 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    fallback = tempfile.mkdtemp(prefix="armature-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _fallbacks.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="armature-"))
 
 
 def new_dir(spark: SparkSession, label: str) -> str:

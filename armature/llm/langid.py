@@ -29,10 +29,10 @@ BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)
 #: Bounds of the training sample: rows, and bytes of a row (evenly spaced pieces of longer texts).
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 4096
 SAMPLE_PIECES = 4
-EPOCHS = 6
+EPOCHS = 5
 BATCH = 32
 RATE = 0.5
 #: Bytes of a text that are scored at once.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, langid, mixing, token_files
+from armature.llm import decontaminate, jaccard_join, langid, mixing, token_files
 from armature.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---- 9 n-gram Jaccard join ----
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")

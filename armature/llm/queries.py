@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, jaccard_join, langid, mixing, token_files
+from armature.llm import decontaminate, jaccard_join, langid, mixing, suffix_dedup, token_files
 from armature.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+# ---- 3 suffix-array dedup ----
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, jaccard_join, langid, mixing, secret_scan, suffix_dedup, token_files
+from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, secret_scan, suffix_dedup, token_files
 from armature.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,5 +131,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs)).drop("text")
     base = F.filter("found", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+
+    def count(k: int, name: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}")
+
+    counts = [count(k, name) for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
+
+
+# ---- 1 licence scan ----
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.train(spark)).drop("notice")

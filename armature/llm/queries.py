@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, secret_scan, suffix_dedup, token_files
+from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, mtree, reshard, secret_scan, suffix_dedup, token_files
+from armature.plans.lookups import settled
 from armature.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +146,40 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_license_scan")
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.train(spark)).drop("notice")
+
+
+# ---- 6 exact top-k search ----
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op6_top_k", OP6_SQL)
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = settled(mtree.prepared(table(spark, sf_dir, "embeddings")), "vectors")
+    return mtree.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+# ---- 7 resharding ----
+
+#: Where documents lie before: shards by source, of which one is large.
+OLD_SHARDS = 12
+
+
+@query("op7_reshard")
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old_path, new_path = new_dir(spark, "shards-old"), new_dir(spark, "shards-new")
+    old_shard = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(OLD_SHARDS)).cast("int")
+    reshard.write_old(table(spark, sf_dir, "documents").withColumn("old_shard", old_shard), old_path)
+    layout = reshard.plan(reshard.read_old(spark, old_path), shards=16)
+    found = reshard.with_slots(reshard.rewrite(spark, old_path, new_path, layout))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -32,7 +32,8 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 4096
 SAMPLE_PIECES = 4
-EPOCHS = 5
+#: Steps of the descent, and rows of a step.
+STEPS = 400
 BATCH = 32
 RATE = 0.5
 #: Bytes of a text that are scored at once.
@@ -103,26 +104,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     embed = (rng.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM
     linear, bias = np.zeros((DIM, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     train = np.flatnonzero(~kept)
-    steps, done = EPOCHS * max(1, -(-len(train) // BATCH)), 0
-    for _ in range(EPOCHS):
-        for first in range(0, len(train), BATCH):
-            picked = train[rng.integers(0, len(train), min(BATCH, len(train)))] if len(train) > BATCH else train
-            rate = np.float32(RATE * (1 - done / steps))
-            done += 1
-            grad_table: dict[str, list[np.ndarray]] = {"at": [], "by": []}
-            grad_linear, grad_bias = np.zeros_like(linear), np.zeros_like(bias)
-            for i in picked:
-                at, share = rows[i]
-                hidden = share @ embed[at]
-                error = softmax(hidden @ linear + bias)
-                error[wanted[i]] -= 1
-                grad_linear += np.outer(hidden, error)
-                grad_bias += error
-                grad_table["at"].append(at)
-                grad_table["by"].append(share[:, None] * (linear @ error)[None, :])
-            linear -= rate * grad_linear
-            bias -= rate * grad_bias / len(picked)
-            np.subtract.at(embed, np.concatenate(grad_table["at"]), rate * np.concatenate(grad_table["by"]) * len(classes))
+    for step in range(STEPS):
+        picked = train[rng.integers(0, len(train), BATCH)]
+        rate = np.float32(RATE * (1 - step / STEPS))
+        grad_table: dict[str, list[np.ndarray]] = {"at": [], "by": []}
+        grad_linear, grad_bias = np.zeros_like(linear), np.zeros_like(bias)
+        for i in picked:
+            at, share = rows[i]
+            hidden = share @ embed[at]
+            error = softmax(hidden @ linear + bias)
+            error[wanted[i]] -= 1
+            grad_linear += np.outer(hidden, error)
+            grad_bias += error
+            grad_table["at"].append(at)
+            grad_table["by"].append(share[:, None] * (linear @ error)[None, :])
+        linear -= rate * grad_linear
+        bias -= rate * grad_bias / len(picked)
+        np.subtract.at(embed, np.concatenate(grad_table["at"]), rate * np.concatenate(grad_table["by"]) * len(classes))
     table = (embed @ linear).astype(np.float32)
     held = np.flatnonzero(kept) if kept.any() else train
     logits = np.array([share @ table[at] + bias for at, share in (rows[i] for i in held)])

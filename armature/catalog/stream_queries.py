@@ -27,12 +27,12 @@ FRAME = [*KEYS, POS]
 def _events(fx, late: str = S.LATE) -> DataFrame:
     """The event table as a stream, whether it is one file or a folder of files."""
     path = f"{fx.dir}/events.parquet"
-    schema = fx.table("events").schema
     root, glob = (path, None) if not os.path.isfile(path) else (fx.dir, "events.parquet")
-    reader = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(root).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return S.read_telemetry(fx.spark, root, fx.table("events").schema, late, glob=glob)
+
+
+#: Rows that the watermark has passed when all rows are read; the others still wait.
+PASSED = "epoch_us(ts) < (SELECT (epoch_ms(max(ts)) - 10000) * 1000 FROM events)"
 
 
 def _run(fx, df: DataFrame, label: str) -> DataFrame:
@@ -75,9 +75,10 @@ rb AS (SELECT CAST(episode_index % 8 AS VARCHAR) AS robot, row_number() OVER (PA
     "stream_smooth",
     f"WITH {recursion([('ema', 0.3), ('limit', 5.0)], _ROBOTS, 'rb', ('robot',), 'n')} SELECT robot, event_id, "
     + ", ".join(sql_r6(f"z1_{i}", f"y{i}") for i in range(6))
-    + " FROM r JOIN src USING (robot, n)",
+    + f" FROM r JOIN src USING (robot, n) WHERE event_id IN (SELECT event_id FROM events WHERE {PASSED})",
 )
 def stream_smooth(fx):
+    """Rows the watermark has passed, smoothed in event-time order."""
     live = _events(fx).select(_robot(), "ts", "event_id", _joints())
     done = _run(fx, S.smooth_stream(live, "event_id"), "stream-smooth")
     return done.select("robot", F.col("order_id").alias("event_id"), *spread("smoothed", "y", 6))
@@ -114,7 +115,7 @@ def loop_rate(fx):
 
 
 _MACHINE = """
-k AS (SELECT CAST(user_id % 8 AS VARCHAR) AS robot, event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS position,
+k AS (SELECT CAST(user_id % 8 AS VARCHAR) AS robot, event_id, ts, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS position,
   CASE event_type WHEN 'signup' THEN 'B' WHEN 'purchase' THEN 'N' WHEN 'error' THEN 'R' END AS key FROM events),
 b AS (SELECT *, coalesce(last_value(key IGNORE NULLS) OVER (PARTITION BY robot ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'B', false) AS on_before FROM k),
 s AS (SELECT *, coalesce(key = 'B', false) AND NOT on_before AS starts FROM b),
@@ -155,17 +156,58 @@ def recorded_episodes_blocked(fx):
 
 @query(
     "stream_episodes",
-    f"WITH {_MACHINE} SELECT robot, episode, frames, first_id, verdict FROM ep WHERE verdict IS NOT NULL",
+    f"WITH {_MACHINE.replace('FROM events)', f'FROM events WHERE {PASSED})')} SELECT robot, episode, frames, first_id, verdict FROM ep WHERE verdict IS NOT NULL",
 )
 def stream_episodes(fx):
+    """Episodes finished by a row that the watermark has passed."""
     live = _events(fx).select(_robot(), "ts", "event_id", _key())
     return _run(fx, S.record_stream(live, "event_id"), "stream-episodes")
 
 
+_PRESSED = """CASE WHEN event_id % 17 = 0 THEN 'left' WHEN event_id % 23 = 0 THEN 'right' WHEN event_id % 29 = 0 THEN 'esc'
+  WHEN event_id % 31 = 0 THEN 'quit' WHEN event_type = 'signup' THEN 'B' WHEN event_type = 'purchase' THEN 'N' WHEN event_type = 'error' THEN 'R' END"""
+
+
+def _recorder(where: str = "") -> str:
+    """Episodes that were finished and not taken back, with every key of the recorder."""
+    return f"""
+k AS (SELECT CAST(user_id % 8 AS VARCHAR) AS robot, event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS position,
+  {_PRESSED} AS key FROM events {where}),
+b AS (SELECT *, coalesce(last_value(key IGNORE NULLS) OVER (PARTITION BY robot ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last FROM k),
+n AS (SELECT *, sum(CASE WHEN key = 'B' AND last <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY robot ORDER BY position ROWS UNBOUNDED PRECEDING) - 1 AS episode FROM b),
+ep AS (SELECT robot, CAST(episode AS BIGINT) AS episode, count(*) FILTER (last = 'B' AND key IS NULL) AS frames, arg_min(event_id, position) FILTER (last = 'B' OR key = 'B') AS first_id,
+  max(CASE WHEN last = 'B' AND key IN ('N', 'right') THEN 'success' WHEN last = 'B' AND key = 'R' THEN 'fail' END) AS verdict,
+  coalesce(bool_or(key = 'left' AND last IN ('N', 'R', 'right')), false) AS taken FROM n WHERE episode >= 0 GROUP BY ALL)
+SELECT robot, episode, frames, first_id, verdict FROM ep WHERE verdict IS NOT NULL AND NOT taken"""
+
+
+def _pressed():
+    e, kind = F.col("event_id"), F.col("event_type")
+    odd = F.when(e % 17 == 0, "left").when(e % 23 == 0, "right").when(e % 29 == 0, "esc").when(e % 31 == 0, "quit")
+    return odd.when(kind == "signup", "B").when(kind == "purchase", "N").when(kind == "error", "R").alias("key")
+
+
+@query("recorder_keys", f"WITH {_recorder()}")
+def recorder_keys(fx):
+    """The state machine over the table with every key: also next, stop, quit and taking back."""
+    rows = fx.table("events").select(_robot(), "ts", "event_id", _pressed())
+    placed = position(rows, ["robot"], ["ts", "event_id"], fx.time_buckets())
+    found = S.recorded_episodes(S.label_episodes(placed, longest=fx.rows))
+    ids = placed.select("robot", F.col("position").alias("first_position"), F.col("event_id").alias("first_id"))
+    return found.join(ids, ["robot", "first_position"]).select("robot", "episode", "frames", "first_id", "verdict")
+
+
+@query("stream_recorder_keys", f"WITH {_recorder(f'WHERE {PASSED}')}")
+def stream_recorder_keys(fx):
+    """The same on the stream, for rows that the watermark has passed."""
+    live = _events(fx).select(_robot(), "ts", "event_id", _pressed())
+    return S.kept_episodes(_run(fx, S.record_stream(live, "event_id"), "stream-recorder"))
+
+
 _FIRST = "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(min(ts)) AS order_ts, arg_min(event_id, ts) AS order_id FROM events WHERE value > 150 GROUP BY user_id"
 
 
-@query("stream_first_grasp", _FIRST)
+@query("stream_first_grasp", f"{_FIRST} HAVING min({PASSED.split(' < ')[0]}) < {PASSED.split(' < ')[1]}")
 def stream_first_grasp(fx):
     live = _events(fx).select("user_id", "ts", "event_id", "value")
     return _run(fx, S.first_grasps(live, F.col("value") > 150, "user_id", "event_id"), "stream-first-grasp")

@@ -37,6 +37,21 @@ def action_chunks(fx):
     )
 
 
+@query(
+    "action_chunks_missing",
+    f"""WITH {Q.FRAMES}, m AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE a0 END AS x FROM fx),
+    n AS (SELECT *, count(*) {OVER} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS have FROM m) SELECT {Q.EPISODE}, """
+    + ", ".join(f"last_value(x) {OVER} ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) AS step{k}" for k in range(4))
+    + ", 4 - CAST(have AS INTEGER) AS padded FROM n",
+)
+def action_chunks_missing(fx):
+    """Frames without an action keep their place in a chunk."""
+    frames = fx.frames().withColumn("action", F.when(F.col("event_id") % 5 != 0, F.col("action")))
+    chunks = W.action_chunks(frames, horizon=4, longest=fx.longest)
+    steps = [F.get(F.get("chunk", F.lit(k)), F.lit(0)).alias(f"step{k}") for k in range(4)]
+    return chunks.select(*FRAME, *steps, F.size(F.filter("chunk_is_pad", lambda p: p)).alias("padded"))
+
+
 @query(
     "action_chunks_blocked",
     f"WITH {Q.FRAMES} SELECT {Q.EPISODE}, least(16, count(*) {OVER} ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS have, "

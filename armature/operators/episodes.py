@@ -25,15 +25,16 @@ def action_chunks(
     **plan,
 ) -> DataFrame:
     """The current and next horizon-1 vectors; past the episode end the last one repeats,
-    flagged in `<out>_is_pad`."""
+    flagged in `<out>_is_pad`. A missing vector is null in the chunk and is no padding."""
     taken = over_neighbours(
         df,
         keys,
         pos,
-        lambda w: {"_taken": F.collect_list(col).over(w.rowsBetween(0, horizon - 1))},
+        lambda w: {"_taken": F.collect_list(F.struct(F.col(col).alias("v"))).over(w.rowsBetween(0, horizon - 1))},
         after=horizon - 1,
         **plan,
     )
+    taken = taken.withColumn("_taken", F.transform("_taken", lambda s: s["v"]))
     have = F.size("_taken")
     filler = F.array_repeat(F.element_at("_taken", -1), F.lit(horizon) - have)
     return taken.withColumns(

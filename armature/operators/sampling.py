@@ -25,19 +25,19 @@ def sample_rows(
 ) -> DataFrame:
     """n rows without replacement."""
     draw = draw or keyed(seed, *keys)
-    return smallest(df.withColumn("_draw", draw("sample")), n, F.col("_draw"), keys).drop("_draw")
+    return smallest(df.withColumn("_draw", draw("sample")), n, ["_draw", *keys], F.col("_draw")).drop("_draw")
 
 
-def smallest(df: DataFrame, n: int, share: Column, ties: Sequence[str], top_rows: int = TOP_ROWS) -> DataFrame:
-    """The n rows with the smallest `share`, a column spread over (0, 1).
+def smallest(df: DataFrame, n: int, order: Sequence[str], share: Column, top_rows: int = TOP_ROWS) -> DataFrame:
+    """The n first rows in `order`. `share`, in 0 to 1, must not decrease along it; it only cuts the work.
 
     A few rows are a bounded top-n. More rows are ranked in equal slices of the share, so
-    no task sorts more than a slice and nothing passes through the driver.
+    no task sorts more than a slice and nothing passes through the driver. Both give the same rows.
     """
     if n <= top_rows:
-        return df.orderBy(share, *ties).limit(n)
+        return df.orderBy(*order).limit(n)
     slices = max(1, df.count() // RANK_ROWS)
-    ranked = position(df, [], [share, *ties], F.floor(share * slices).cast("long"), "_rank")
+    ranked = position(df, [], list(order), F.floor(share * slices).cast("long"), "_rank")
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 
@@ -61,13 +61,15 @@ def mixture_weights(
 
 
 def draw_mixture(
-    weighted: DataFrame, n: int, seed: int, keys: Sequence[str] = (*KEYS, POS), draw: Draw | None = None
+    weighted: DataFrame,
+    n: int,
+    seed: int,
+    keys: Sequence[str] = (*KEYS, POS),
+    draw: Draw | None = None,
+    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """n distinct frames, drawn in proportion to weight: the smallest of -ln(u) / weight."""
+    """n distinct frames, drawn in proportion to weight: the smallest of -ln(u) / weight, whatever n is."""
     draw = draw or keyed(seed, *keys)
     ranked = weighted.withColumn("_time", -F.log(draw("mixture")) / F.col("weight"))
-    if n <= TOP_ROWS:
-        return ranked.orderBy("_time", *keys).limit(n).drop("_time")
     typical = ranked.agg(F.avg("_time").alias("t")).scalar()
-    share = F.lit(1.0) - F.exp(-F.col("_time") / typical)
-    return smallest(ranked, n, share, keys).drop("_time")
+    return smallest(ranked, n, ["_time", *keys], -F.expm1(-F.col("_time") / typical), top_rows).drop("_time")

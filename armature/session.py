@@ -44,9 +44,14 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(archive)
+    # Workers that the driver itself starts, as for the set-up of stateful streams, don't see files that were added.
+    context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (archive, context.environment.get("PYTHONPATH")) if x)
     context._armature_sent = True
 
 
+#: Says that a path without a scheme, or a file: path, is one mount that all machines share.
+MOUNTED = "spark.armature.sharedFolderIsMounted"
+
 #: The fallback folders of local sessions, by application.
 _fallbacks: dict[str, str] = {}
 
@@ -59,6 +64,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
+        master = spark.sparkContext.master
+        local = "://" not in named.replace("file:", "") and not master.startswith("local")
+        if local and spark.conf.get(MOUNTED, "false") != "true":
+            raise ValueError(f"{named} is a path on each machine's own disk; if it is a shared mount, set {MOUNTED}=true")
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

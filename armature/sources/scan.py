@@ -28,9 +28,10 @@ def scan_frames(spark: SparkSession, root: str, dataset: str) -> DataFrame:
 def scan_episodes(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Episode table; columns videos/<camera>/from_timestamp and to_timestamp become a map.
 
-    Cameras differ between datasets, so this one schema is read from the file footers.
+    Cameras differ between datasets and between files of one, so this schema is merged from the file footers;
+    a camera that an episode lacks is not in its map.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
+    raw = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{root}/meta/episodes")
     cameras = sorted(
         c.split("/")[1] for c in raw.columns if c.startswith("videos/") and c.endswith("/from_timestamp")
     )
@@ -47,7 +48,7 @@ def scan_episodes(spark: SparkSession, root: str, dataset: str) -> DataFrame:
         for c in kept
     ]
     segments = (
-        F.map_from_entries(F.array(*entries))
+        F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["from_ts"].isNotNull() | e["value"]["to_ts"].isNotNull()))
         if entries
         else F.create_map().cast("map<string,struct<from_ts:double,to_ts:double>>")
     )

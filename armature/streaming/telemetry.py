@@ -1,7 +1,8 @@
 """Live telemetry with Structured Streaming. Definitions are shared with the batch operators.
 
 Keyed state is sequential per robot, so a micro-batch is kept bounded at the source
-(files or bytes per trigger); what crosses micro-batches is a few numbers per robot.
+(bytes or files per trigger). What crosses micro-batches is a few numbers per robot and the rows the
+watermark has not passed yet, so results don't depend on how rows are cut into micro-batches.
 """
 
 from __future__ import annotations
@@ -27,64 +28,118 @@ def read_telemetry(
     path: str,
     schema: T.StructType,
     late: str = LATE,
-    files_per_trigger: int = 8,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int = 256 << 20,
     event_time: str = "ts",
     glob: str | None = None,
 ) -> DataFrame:
-    """Telemetry files as a stream, a bounded number per micro-batch; rows later than `late` drop."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    """Telemetry files as a stream, bounded bytes (or files) per micro-batch; rows later than `late` drop."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path).withWatermark(event_time, late)
+    return reader.parquet(path).withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, late)
 
 
-def loop_rate(telemetry: DataFrame, by: Sequence[str] = ("robot",), width: str = "1 second", accuracy: int = 10_000) -> DataFrame:
-    """Events per tumbling window with mean and median latency; works on streams and tables."""
+def loop_rate(telemetry: DataFrame, by: Sequence[str] = ("robot",), width: str = "1 second") -> DataFrame:
+    """Events per tumbling window with mean and exact median latency; works on streams and tables.
+
+    The median keeps counts by value, at most as many as one robot sends in a window.
+    """
     return (
         telemetry.groupBy(F.window("ts", width), *by)
         .agg(
             F.count(F.lit(1)).alias("events"),
             F.avg("latency_ms").alias("mean_ms"),
-            F.percentile_approx("latency_ms", 0.5, accuracy).alias("p50_ms"),
+            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50_ms"),
         )
         .select(F.col("window.start").alias("window_start"), *by, "events", "mean_ms", "p50_ms")
     )
 
 
-class OnlineSmoother(StatefulProcessor):
-    """Moving average, then limiter, per robot; one state row of the last time and two vectors.
+class InOrder(StatefulProcessor):
+    """Gives a key's rows to `take` in event-time order, whatever micro-batches they came in.
 
-    Rows are taken in time order inside a micro-batch. A row not newer than the last one
-    already sent on is dropped.
+    Rows wait in state until the watermark has passed them: rows that may still come before
+    them are later than the watermark and were dropped. What waits is bounded by the rows of a key
+    within the watermark's delay and a micro-batch. `row` is the schema of a row: order_ts in
+    microseconds, order_id, then what `take` needs.
     """
 
-    def __init__(self, alpha: float = SMOOTHING_ALPHA, max_delta: float = SMOOTHING_MAX_DELTA):
-        self.alpha, self.max_delta = alpha, max_delta
+    row = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "order array<long>, ema array<double>, limited array<double>")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        """Open the state that `take` keeps."""
+
+    def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["order_ts", "order_id"], kind="stable")
-        known = self.last.exists()
-        if known:
-            (ts, number), *vectors = self.last.get()
-            newer = (batch["order_ts"] > ts) | ((batch["order_ts"] == ts) & (batch["order_id"] > number))
-            batch = batch[newer]
-        if batch.empty:
+        yield from self._release(key, list(rows), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, [], timerValues)
+
+    def _release(self, key, new: list[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.row.split(", ")]
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        parts = [pd.DataFrame(held, columns=names), *[f[names] for f in new]]
+        rows = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        if rows.empty:
             return
-        x = np.array(batch["joints"].tolist(), dtype=float)
-        states = [np.array([v], dtype=float) for v in vectors] if known else [np.zeros((1, x.shape[1])) for _ in "ab"]
-        stages = [("ema", self.alpha), ("limit", self.max_delta)]
-        smoothed = advance(x, np.array([0]), np.array([len(x)]), np.array([known]), states, stages)
-        newest = batch.iloc[-1]
-        self.last.update(([int(newest["order_ts"]), int(newest["order_id"])], *[s[0].tolist() for s in states]))
-        yield pd.DataFrame({"robot": key[0], "order_id": batch["order_id"].to_numpy(), "smoothed": smoothed.tolist()})
+        rows = rows.sort_values(["order_ts", "order_id"], kind="stable", ignore_index=True)
+        passed = int(np.searchsorted(rows["order_ts"].to_numpy(np.int64), timers.getCurrentWatermarkInMs() * 1000))
+        rest = rows.iloc[passed:]
+        if len(rest):
+            self.waiting.put([tuple(_plain(v) for v in r) for r in rest.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(rest["order_ts"].iloc[0]) // 1000)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if passed:
+            yield from self.take(key, rows.iloc[:passed])
 
     def close(self) -> None:
         pass
 
 
+def _plain(value):
+    """A value of a frame as the state store takes it."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    if isinstance(value, np.generic):
+        value = value.item()
+    return None if isinstance(value, float) and value != value else value
+
+
+class OnlineSmoother(InOrder):
+    """Moving average, then limiter, per robot; one state row of two vectors beside the rows that wait."""
+
+    row = "order_ts long, order_id long, joints array<double>"
+
+    def __init__(self, alpha: float = SMOOTHING_ALPHA, max_delta: float = SMOOTHING_MAX_DELTA):
+        self.alpha, self.max_delta = alpha, max_delta
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ema array<double>, limited array<double>")
+
+    def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        known = self.last.exists()
+        x = np.array([list(j) for j in rows["joints"]], dtype=float)
+        states = [np.array([v], dtype=float) for v in self.last.get()] if known else [np.zeros((1, x.shape[1])) for _ in "ab"]
+        stages = [("ema", self.alpha), ("limit", self.max_delta)]
+        smoothed = advance(x, np.array([0]), np.array([len(x)]), np.array([known]), states, stages)
+        self.last.update(tuple(s[0].tolist() for s in states))
+        yield pd.DataFrame({"robot": key[0], "order_id": rows["order_id"].to_numpy(np.int64), "smoothed": smoothed.tolist()})
+
+
 SMOOTHED = "robot string, order_id long, smoothed array<double>"
 
 
@@ -93,15 +148,19 @@ def smooth_stream(
 ) -> DataFrame:
     """Smoothed joints per robot, state kept between micro-batches. Needs the RocksDB state store."""
     ordered = telemetry.select(
-        "robot", F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id"), "joints"
+        "robot", "ts", F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id"), "joints"
     )
     return ordered.groupBy("robot").transformWithStateInPandas(
-        OnlineSmoother(alpha, max_delta), SMOOTHED, outputMode="append", timeMode="None"
+        OnlineSmoother(alpha, max_delta), SMOOTHED, outputMode="append", timeMode="EventTime"
     )
 
 
 # Keys of the recorder.
 START, SUCCESS, FAIL, QUIT, RERECORD = "B", "N", "R", "quit", "left"
+NEXT, STOP = "right", "esc"
+CONTROLS = [START, SUCCESS, FAIL, QUIT, RERECORD, NEXT, STOP]
+#: Keys that finish an episode with a verdict.
+FINISHED = {SUCCESS: "success", NEXT: "success", FAIL: "fail"}
 
 
 def label_episodes(
@@ -114,27 +173,29 @@ def label_episodes(
 ) -> DataFrame:
     """Rows with the recording state machine's phase: recording flag, episode number, verdict so far.
 
-    B starts an episode when idle; N and R end it; rows outside are ignored (episode is null).
-    `key` is null for frames. The phase after a row depends on the last key only, and
+    B starts an episode when idle; N or the next key ends it with success, R with failure, quit and stop leave it
+    unfinished. Re-record discards the running episode; when idle right after one was finished, that one.
+    Other rows outside are ignored (episode is null). `key` is null for frames. The phase after a row depends on the last key only, and
     episode numbers are running counts of starts made while idle, so both are carried over
     blocks instead of walking a robot's whole history in one task.
     """
-    control = F.when(F.col(key).isin(START, SUCCESS, FAIL, QUIT, RERECORD), F.col(key))
+    control = F.when(F.col(key).isin(CONTROLS), F.col(key))
     before = running(events, robot, pos, {"_last": Fold("last", control, False)}, size, longest)
     was_on = F.coalesce(F.col("_last") == START, F.lit(False))
     starts = F.coalesce((F.col(key) == START) & ~was_on, F.lit(False))
     marked = before.withColumns({"_on_before": was_on, "_starts": starts.cast("long")})
     counted = running(marked, robot, pos, {"_episode": Fold("sum", F.col("_starts"))}, size, longest)
-    ends = F.col("_on_before") & F.coalesce(F.col(key).isin(SUCCESS, FAIL, QUIT, RERECORD), F.lit(False))
+    ends = F.col("_on_before") & F.coalesce(F.col(key).isin(CONTROLS[1:]), F.lit(False))
+    takes_back = F.coalesce((F.col(key) == RERECORD) & F.col("_last").isin(list(FINISHED)) & (F.col("_episode") > 0), F.lit(False))
     inside = (F.col("_on_before") | (F.col("_starts") == 1)) & F.coalesce(F.col(key).isNull(), F.lit(False))
     return counted.withColumns(
         {
-            "episode": F.when(F.col("_on_before") | (F.col("_starts") == 1), F.col("_episode") - 1),
+            "episode": F.when(F.col("_on_before") | (F.col("_starts") == 1) | takes_back, F.col("_episode") - 1),
             "is_frame": inside,
-            "verdict": F.when(ends & (F.col(key) == SUCCESS), "success")
+            "verdict": F.when(ends & F.col(key).isin(SUCCESS, NEXT), "success")
             .when(ends & (F.col(key) == FAIL), "fail")
-            .when(ends & (F.col(key) == RERECORD), "discarded")
-            .when(ends & (F.col(key) == QUIT), "unfinished"),
+            .when((ends & (F.col(key) == RERECORD)) | takes_back, "discarded")
+            .when(ends & F.col(key).isin(QUIT, STOP), "unfinished"),
         }
     ).drop("_last", "_on_before", "_starts", "_episode")
 
@@ -148,82 +209,101 @@ def recorded_episodes(labelled: DataFrame, robot: Sequence[str] = ("robot",), po
             F.count_if("is_frame").alias("frames"),
             F.min(pos).alias("first_position"),
             F.max("verdict").alias("verdict"),
+            F.coalesce(F.bool_or(F.col("verdict") == "discarded"), F.lit(False)).alias("_discarded"),
         )
-        .filter(F.col("verdict").isin("success", "fail"))
+        .filter(F.col("verdict").isin("success", "fail") & ~F.col("_discarded"))
+        .drop("_discarded")
     )
 
 
-class EpisodeRecorder(StatefulProcessor):
-    """The same state machine on a stream: emits an episode when N or R ends it."""
+class EpisodeRecorder(InOrder):
+    """The same state machine on a stream: emits an episode when a key finishes it, and a row with the
+    verdict `discarded` for one that is taken back after it was finished."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.phase = handle.getValueState("phase", "recording boolean, episode long, frames long, first long")
+    row = "order_ts long, order_id long, key string"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["order_ts", "order_id"], kind="stable")
-        recording, episode, frames, first = self.phase.get() if self.phase.exists() else (False, 0, 0, 0)
-        pressed = batch["key"].where(batch["key"].isin([START, SUCCESS, FAIL, QUIT, RERECORD]))
-        before = pressed.ffill().shift(1).fillna(START if recording else QUIT)
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.phase = handle.getValueState("phase", "last string, episode long, frames long, first long")
+
+    def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        # `episode` counts the starts made so far.
+        last, episode, frames, first = self.phase.get() if self.phase.exists() else ("", 0, 0, 0)
+        batch = rows.reset_index(drop=True)
+        pressed = batch["key"].where(batch["key"].isin(CONTROLS))
+        before = pressed.ffill().shift(1).fillna(last)
         on = before == START
         starts = (pressed == START) & ~on
-        number = episode + starts.cumsum() - (0 if recording else 1)
+        number = episode + starts.cumsum() - 1
         seen = pd.DataFrame(
             {
                 "episode": number,
                 "frame": on & batch["key"].isna(),
                 "first": batch["order_id"].where(starts),
-                "verdict": pressed.where(on).map({SUCCESS: "success", FAIL: "fail"}),
+                "verdict": pressed.where(on).map(FINISHED),
             }
         )[on | starts]
         done = seen.groupby("episode").agg(frames=("frame", "sum"), first_id=("first", "min"), verdict=("verdict", "first"))
-        if recording and episode in done.index:
-            done.loc[episode, "frames"] += frames
-            done.loc[episode, "first_id"] = first
-        last = pressed.dropna()
-        still_on = recording if last.empty else bool(last.iloc[-1] == START)
-        current = int(number.iloc[-1]) if len(number) else episode
-        if still_on:
-            open_ = done.loc[current] if current in done.index else None
-            carried = (frames, first) if open_ is None else (int(open_["frames"]), int(open_["first_id"]))
-            self.phase.update((True, current, *carried))
-        else:
-            self.phase.update((False, current + 1, 0, 0))
+        if last == START and episode - 1 in done.index:
+            done.loc[episode - 1, "frames"] += frames
+            done.loc[episode - 1, "first_id"] = first
+        now = pressed.dropna()
+        last = now.iloc[-1] if len(now) else last
+        current = int(number.iloc[-1])
+        if current in done.index:
+            frames, first = int(done.loc[current, "frames"]), int(done.loc[current, "first_id"])
+        self.phase.update((last, current + 1, frames, first))
         ended = done[done["verdict"].notna()].reset_index()
-        if len(ended):
-            ended.insert(0, "robot", key[0])
-            yield ended.astype({"frames": "int64", "first_id": "int64"})
-
-    def close(self) -> None:
-        pass
+        back = (pressed == RERECORD) & before.isin(list(FINISHED)) & (number >= 0)
+        taken = pd.DataFrame({"episode": number[back], "frames": 0, "first_id": batch["order_id"][back], "verdict": "discarded"})
+        out = pd.concat([p for p in (ended, taken) if len(p)], ignore_index=True) if len(ended) or len(taken) else ended
+        if len(out):
+            out.insert(0, "robot", key[0])
+            yield out.astype({"episode": "int64", "frames": "int64", "first_id": "int64"})
 
 
 RECORDED = "robot string, episode long, frames long, first_id long, verdict string"
 
 
 def record_stream(telemetry: DataFrame, order_id: str) -> DataFrame:
+    """Finished episodes, and a row with the verdict `discarded` for each that was taken back later."""
     ordered = telemetry.select(
-        "robot", F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id"), "key"
+        "robot", "ts", F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id"), "key"
     )
     return ordered.groupBy("robot").transformWithStateInPandas(
-        EpisodeRecorder(), RECORDED, outputMode="append", timeMode="None"
+        EpisodeRecorder(), RECORDED, outputMode="append", timeMode="EventTime"
     )
 
 
+def kept_episodes(recorded: DataFrame) -> DataFrame:
+    """Rows of finished episodes that were not taken back, of what `record_stream` has written."""
+    taken = recorded.filter(F.col("verdict") == "discarded").select("robot", "episode").distinct()
+    return recorded.filter(F.col("verdict") != "discarded").join(taken, ["robot", "episode"], "left_anti")
+
+
 class FirstSeen(StatefulProcessor):
-    """Emits the earliest row of a key in the micro-batch that first holds one, then nothing."""
+    """Emits the earliest row of a key once the watermark has passed it, then nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.handle = handle
+        self.first = handle.getValueState("first", "order_ts long, order_id long, sent boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
+        known = self.first.get() if self.first.exists() else None
+        if known and known[2]:
             return
         firsts = [b.nsmallest(1, ["order_ts", "order_id"]) for b in rows]
-        first = pd.concat(firsts).nsmallest(1, ["order_ts", "order_id"])
-        self.seen.update((True,))
-        yield pd.DataFrame(
-            {"key": [key[0]], "order_ts": first["order_ts"].to_numpy(), "order_id": first["order_id"].to_numpy()}
-        )
+        found = pd.concat(firsts).nsmallest(1, ["order_ts", "order_id"]).iloc[0]
+        least = min([(int(found["order_ts"]), int(found["order_id"])), *([tuple(known[:2])] if known else [])])
+        self.first.update((*least, False))
+        self.handle.registerTimer(least[0] // 1000)
+        yield from self.handleExpiredTimer(key, timerValues, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ts, number, sent = self.first.get()
+        if sent or ts >= timerValues.getCurrentWatermarkInMs() * 1000:
+            return
+        self.first.update((ts, number, True))
+        yield pd.DataFrame({"key": [key[0]], "order_ts": [ts], "order_id": [number]})
 
     def close(self) -> None:
         pass
@@ -232,13 +312,13 @@ class FirstSeen(StatefulProcessor):
 def first_grasps(telemetry: DataFrame, signal: Column, key: str, order_id: str) -> DataFrame:
     """One event per key when its signal is first true. Only rows with the signal reach the state."""
     held = telemetry.filter(signal).select(
-        F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id")
+        F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("order_ts"), F.col(order_id).alias("order_id")
     )
     if not telemetry.isStreaming:
         first = held.groupBy("key").agg(F.min(F.struct("order_ts", "order_id")).alias("_first"))
         return first.select("key", "_first.*")
     return held.groupBy("key").transformWithStateInPandas(
-        FirstSeen(), "key string, order_ts long, order_id long", outputMode="append", timeMode="None"
+        FirstSeen(), "key string, order_ts long, order_id long", outputMode="append", timeMode="EventTime"
     )
 
 

@@ -295,8 +295,12 @@ def test_linked_sets_share_a_signature():
             b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
             if len(a) == len(b) == len(np.intersect1d(a, b)):
                 continue
-            s, w, _ = jaccard_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-            assert set(s[w == 0].tolist()) & set(s[w == 1].tolist()), (len(a), len(b))
+            s, w, own, need = jaccard_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            shared = set(s[w == 0].tolist()) & set(s[w == 1].tolist())
+            assert shared, (len(a), len(b))
+            # Both share as many signatures in a common band as they say a link needs.
+            least = [[len(shared & set(s[(w == i) & (own == bool(k))].tolist())) >= need[i, k] for k in (0, 1)] for i in (0, 1)]
+            assert any(least[0]) and any(least[1])
 
 
 def test_components(spark):

@@ -193,8 +193,8 @@ def test_chunks_shorter_than_the_horizon(spark):
 
 def test_large_samples_are_ranked_in_slices(spark):
     df = spark.range(5000).withColumn("_u", T.keyed(1, "id")("x"))
-    few = T.smallest(df, 700, F.col("_u"), ["id"])
-    sliced = T.smallest(df, 700, F.col("_u"), ["id"], top_rows=10)
+    few = T.smallest(df, 700, ["_u", "id"], F.col("_u"))
+    sliced = T.smallest(df, 700, ["_u", "id"], F.col("_u"), top_rows=10)
     assert rows_of(few, "id") == rows_of(sliced, "id")
 
 

@@ -11,7 +11,7 @@ tasks that succeeded, belong to the data, so tasks may run twice or be lost.
 
 Defined cases: a null or empty text gives the end id alone. Null document ids come first and are
 stored as the smallest 64-bit number. Rows with the same id keep one entry each, ordered by
-text. An empty table gives an empty manifest. Other columns of the input are not written.
+a hash of the text. An empty table gives an empty manifest. Other columns of the input are not written.
 """
 
 from __future__ import annotations
@@ -269,9 +269,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-int(total) // part_bytes))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
+    # Ranges are found from a sample of ids and hashes, so no text reaches the driver.
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

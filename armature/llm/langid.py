@@ -134,10 +134,16 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on at most `rows` labelled rows, drawn by a hash of the id; the driver holds those only."""
+    """Fit on at most `rows` labelled rows, drawn by a hash of the id; the driver holds those only.
+
+    Rows beyond a share of the hashes are left out before the draw, so that tasks don't each send as many.
+    """
+    usable = labelled.filter(F.col(lang).isNotNull())
+    share = min(1.0, 2.0 * rows / max(1, usable.count()))
+    first = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long")
     drawn = (
-        labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.crc32(F.col(text)).cast("string"))).alias("_draw"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+        usable.select(F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.crc32(F.col(text)).cast("string"))).alias("_draw"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+        .filter((first < int(share * (1 << 32))) & F.col("_text").rlike(r"\p{L}"))
         .select("_draw", "_lang", _pieces("_text").alias("_text"))
         .orderBy("_draw", "_text", "_lang")
         .limit(rows)

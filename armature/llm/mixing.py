@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 PASSES = 3
 SEED = "mix"
 #: Rows sorted together, about.
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 4_000
 
 
 def words(text: str) -> Column:

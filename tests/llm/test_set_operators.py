@@ -259,11 +259,11 @@ def near_copies():
     return [*rows, (900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "One  TWO"), (905, "one two three four"), (906, "a b c d e"), (907, "a b c d e"), (907, "a b c d e")]
 
 
-@pytest.mark.parametrize("deal", [3, 256])
-def test_jaccard_join_against_brute_force(spark, deal):
+@pytest.mark.parametrize("family_bytes", [100, 1 << 20])
+def test_jaccard_join_against_brute_force(spark, family_bytes):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1)).withColumn("component_id", F.lit("x"))
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, deal=deal, centres=2).collect())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, deal=3, centres=2, family_bytes=family_bytes).collect())
     assert got == linked(rows)
     kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()]
     assert sorted(kept) == sorted({c for _, n, c in linked(rows) if n} | {900, 901, 902})

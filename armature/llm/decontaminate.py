@@ -1,7 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
-Texts are cut into words; punctuation and case are dropped. Numbers, measuring units after a number and
-names (capitalised words inside a sentence) become typed placeholders, all other words stay. Windows of
+Texts are cut into words, also between digits and letters; punctuation and case are dropped. Numbers, measuring
+units after a number and names (capitalised words inside a sentence) become typed placeholders, all other words
+stay. A capitalised word that begins a sentence or line may be a name or not: windows over it have both forms,
+in the benchmark and in documents. Windows of
 eight canonical words of a document are joined by hash with those of the benchmark, so a
 question whose numbers, names or units were exchanged still matches. The slots of matching windows
 on one diagonal are then checked: a value of the item must always have become the same value in the
@@ -33,6 +35,8 @@ LITERAL = 5
 COVER = 0.5
 #: Items whose windows are shipped to the tasks at once, by the bytes of their texts.
 BLOCK_BYTES = 16 << 20
+#: Windows whose forms are made at once; a window has fewer than a hundred.
+SLICE = 1 << 17
 
 #: Measuring units.
 UNITS = (
@@ -42,7 +46,7 @@ UNITS = (
     "watt watts j joule joules kb mb gb tb percent degree degrees dollar dollars cent cents euro euros usd eur gbp"
 ).split()
 
-NUMBER, UNIT, NAME = 1, 2, 3
+NUMBER, UNIT, NAME, EITHER = 1, 2, 3, 4
 MARKS = np.array([0, 0x1F3A5B7C9D2E4F61, 0x2B4D6F8192A3B4C5, 0x3C5E7F90A1B2C3D4], np.uint64)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -63,7 +67,7 @@ def _sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words without punctuation: text of each, kind (0 literal or a placeholder), own hash, template hash."""
+    """Words without punctuation: text of each, kind (0 literal, a placeholder, or EITHER), own hash, template hash (EITHER: as literal)."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     # A sentence ends with one of . ! ? before white space, at a line's end and at a text's end.
     kept = ~_PUNCTUATION[data]
@@ -73,7 +77,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     seen = np.cumsum(ends)[kept]
     inside = ~SPACE[raw]
     start = inside.copy()
-    start[1:] &= ~inside[:-1] | (own[1:] != own[:-1])
+    digit = (raw >= 48) & (raw <= 57)
+    start[1:] &= ~inside[:-1] | (own[1:] != own[:-1]) | (digit[1:] != digit[:-1])
     at = np.flatnonzero(start)
     codes = np.where(SPACE[low], np.uint64(0), BYTE_CODES[low])
     h = spans_hash(codes, at, len(low))
@@ -82,19 +87,20 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     kind = np.zeros(n, np.uint8)
     if n == 0:
         return who, kind, h, h
-    letters = _sum(inside & ~((raw >= 48) & (raw <= 57)), at)
+    letters = _sum(inside & ~digit, at)
     kind[(letters == 0)] = NUMBER
     upper = ((raw >= 65) & (raw <= 90)) | ((low != raw) & (raw >= 0x80))
     head = upper[at] | ((raw[at] == 0xC3) & np.append(upper, False)[at + 1])
     capitals = _sum(upper, at)
     first = np.ones(n, bool)
     first[1:] = (who[1:] != who[:-1]) | (seen[at][1:] != seen[at][:-1])
-    kind[(letters > 1) & head & (capitals == 1) & ~first] = NAME
+    named = (letters > 1) & head & (capitals == 1)
+    kind[named] = np.where(first[named], EITHER, NAME)
     unit = np.isin(h, _UNIT_HASHES)
     unit[0] = False
     unit[1:] &= (kind[:-1] == NUMBER) & (who[1:] == who[:-1])
     kind[unit] = UNIT
-    return who, kind, h, np.where(kind == 0, h, MARKS[kind])
+    return who, kind, h, np.where((kind == 0) | (kind == EITHER), h, MARKS[kind % EITHER])
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -106,18 +112,37 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _word_hashes(UNITS)
 
 
-def windows(who: np.ndarray, kind: np.ndarray, template: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the windows of `size` words inside one text that have enough literals."""
+def windows(doc: tuple, size: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First words and hashes of the windows of `size` words inside one text that have enough literals, in slices.
+
+    A window is given once for each form its EITHER words allow. With `known`, forms with a literal that isn't known are left out.
+    """
+    who, kind, own, template = doc
     n = len(who) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+        return
+    either = kind == EITHER
+    literal = np.concatenate([[0], np.cumsum((kind == 0) | either)])
     need = -(-LITERAL * size // WINDOW)
-    at = np.flatnonzero((who[:n] == who[size - 1 :]) & (literal[size:] - literal[:n] >= need))
-    h, factors = np.zeros(len(at), np.uint64), powers(size + 1)[1:]
-    for k in range(size):
-        h += template[at + k] * factors[k]
-    return at, mix(h + np.uint64(size))
+    fit = (who[:n] == who[size - 1 :]) & (literal[size:] - literal[:n] >= need)
+    if known is not None:
+        strange = np.concatenate([[0], np.cumsum((kind == 0) & ~known)])
+        fit &= strange[size:] == strange[:n]
+    starts, factors = np.flatnonzero(fit), powers(size + 1)[1:]
+    for begin in range(0, len(starts), SLICE):
+        at = starts[begin : begin + SLICE]
+        literals = literal[at + size] - literal[at]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            h += template[at + k] * factors[k]
+        for k in range(size):
+            here = at + k
+            open_ = either[here]
+            kept = ~open_ | known[here] if known is not None else slice(None)
+            named = np.flatnonzero(open_ & (literals > need))
+            other = h[named] + (MARKS[NAME] - own[here[named]]) * factors[k]
+            at, h, literals = np.concatenate([at[kept], at[named]]), np.concatenate([h[kept], other]), np.concatenate([literals[kept], literals[named] - 1])
+        yield at, mix(h + np.uint64(size))
 
 
 class Templates:
@@ -125,32 +150,39 @@ class Templates:
 
     def __init__(self, texts: list[str]):
         data, offsets = flat(pa.array(texts, pa.large_string()))
-        self.who, self.kind, self.own, self.template = canonical(data, offsets)
+        doc = canonical(data, offsets)
+        self.who, self.kind, self.own, _ = doc
         n = len(texts)
-        self.first = np.searchsorted(self.who, np.arange(n))
         self.words = np.bincount(self.who, minlength=n)
-        parts = []
+        #: Words that stand for themselves somewhere, sorted.
+        self.literals = np.unique(self.own[(self.kind == 0) | (self.kind == EITHER)])
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         self.sizes = sorted({int(min(w, WINDOW)) for w in self.words if w})
         for size in self.sizes:
-            at, h = windows(self.who, self.kind, self.template, size)
-            mine = np.minimum(self.words[self.who[at]], WINDOW) == size
-            parts.append((at[mine], h[mine]))
-        # Inside a document's sentence, the capital that begins an item looks like that of a name.
-        begun = self.first[self.words > 0]
-        kind, template = self.kind.copy(), self.template.copy()
-        kind[begun], template[begun] = NAME, MARKS[NAME]
-        counted = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        for size in self.sizes:
-            at, h = windows(self.who, kind, template, size)
-            mine = (np.minimum(self.words[self.who[at]], WINDOW) == size) & np.isin(at, begun) & np.isin(at, counted) & (self.kind[at] == 0)
-            parts.append((at[mine], h[mine]))
-        at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        h = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
+            for at, h in windows(doc, size):
+                mine = np.minimum(self.words[self.who[at]], WINDOW) == size
+                parts.append((at[mine], h[mine]))
+        at, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(h, kind="stable")
         self.at, self.h = at[order], h[order]
         self.windows = np.bincount(self.who[np.unique(at)], minlength=n)
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if len(ordered) == 0:
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _hits(ordered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of equal hashes: in `h` and in the sorted array."""
+    some = np.flatnonzero(_among(h, ordered))
+    lo, hi = np.searchsorted(ordered, h[some], side="left"), np.searchsorted(ordered, h[some], side="right")
+    n = hi - lo
+    return np.repeat(some, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _slots(items: Templates, size: int, doc: tuple, d_at: np.ndarray, i_at: np.ndarray) -> np.ndarray:
     """Which window matches keep their slots consistent with the rest of their diagonal.
 
@@ -161,13 +193,15 @@ def _slots(items: Templates, size: int, doc: tuple, d_at: np.ndarray, i_at: np.n
     who, kind, own, _ = doc
     ok = np.ones(len(d_at), bool)
     shift = np.arange(size)
-    held = kind[d_at[:, None] + shift] > 0
+    there, here = items.kind[i_at[:, None] + shift], kind[d_at[:, None] + shift]
+    # A word that may be a name is one where the item has a name, or a word that may be one.
+    held = np.where(here == EITHER, np.where(there == 0, 0, NAME), here)
     rows, cols = np.nonzero(held)
     if len(rows) == 0:
         return ok
     group = np.stack([who[d_at], items.who[i_at], d_at - i_at])
     _, group_no = np.unique(group, axis=1, return_inverse=True)
-    group_no = group_no.reshape(-1)[rows].astype(np.uint64)
+    group_no = group_no.reshape(-1)[rows].astype(np.uint64) * np.uint64(EITHER) + held[rows, cols].astype(np.uint64)
     there, here = items.own[i_at[rows] + cols], own[d_at[rows] + cols]
     for value, image in ((there, here), (here, there)):
         key = mix(value + mix(group_no))
@@ -186,15 +220,16 @@ def matches(items: Templates, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     out = [np.zeros((4, 0), np.int64)]
     for a, b in pieces(offsets):
         doc = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        who, kind, own, template = doc
+        who, _, own, _ = doc
         found = []
+        known = _among(own, items.literals)
         for size in items.sizes:
-            at, h = windows(who, kind, template, size)
-            lo, hi = np.searchsorted(items.h, h, side="left"), np.searchsorted(items.h, h, side="right")
-            n = hi - lo
-            hit = np.repeat(np.arange(len(at)), n)
-            i_at = items.at[np.repeat(lo, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)] if len(hit) else np.zeros(0, np.int64)
-            d_at = at[hit]
+            pairs = [np.zeros((2, 0), np.int64)]
+            for at, h in windows(doc, size, known):
+                hit, place = _hits(items.h, h)
+                pairs.append(np.stack([at[hit], items.at[place]]))
+            # Two windows may match in several forms.
+            d_at, i_at = np.unique(np.concatenate(pairs, axis=1), axis=1)
             mine = np.minimum(items.words[items.who[i_at]], WINDOW) == size
             d_at, i_at = d_at[mine], i_at[mine]
             ok = _slots(items, size, doc, d_at, i_at)

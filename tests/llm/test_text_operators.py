@@ -137,6 +137,21 @@ def test_reparameterised_questions_are_found(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_names_that_begin_sentences_are_exchanged(spark):
+    item = "Tom has 5 red apples in his bag. Anna gives him 3 more apples after school. How many apples does Tom have now?"
+    heavy = "Peter carries a box of 12kg from the store to the old house on the hill.\nMaria helps him there."
+    changed = item.replace("Tom", "Mia").replace("Anna", "Cara").replace("5", "7").replace("3", "4")
+    glued = heavy.replace("Peter", "Hugo").replace("12kg", "30 lb").replace("Maria", "Jana").replace("\n", " ")
+    rows = [(1, changed), (2, "We read: " + changed.replace(". ", ".\n") + " Then we left."), (3, item.replace(". ", " ")), (4, glued), (5, heavy), (6, changed.replace("does Mia", "does Otto"))]
+    benchmark = spark.createDataFrame([(1, item), (2, heavy)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs_of(spark, rows), benchmark).collect()}
+    assert set(got) >= {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)} and not {(k, 2) for k in (1, 2, 3, 6)} & set(got)
+    assert got[1, 1]["share"] == got[2, 1]["share"] == got[4, 2]["share"] == 1.0 and got[1, 1]["n_changed"] > 0
+    # Tom became two people.
+    assert (6, 1) not in got or got[6, 1]["share"] < 1.0
+    assert [r["doc_id"] for r in decontaminate.clean(docs_of(spark, [(1, changed), (7, "Mia has a dog.")]), benchmark).collect()] == [7]
+
+
 def test_benchmark_passages_of_the_documents(spark):
     """Brute force: a document with all words of an item in a row is reported, and one without eight of them is not."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()

@@ -7,12 +7,13 @@ in the benchmark and in documents. Windows of
 eight canonical words of a document are joined by hash with those of the benchmark, so a
 question whose numbers, names or units were exchanged still matches. The slots of matching windows
 on one diagonal are then checked: a value of the item must always have become the same value in the
-document, and different values different ones. A document is contaminated by an item when the
-windows that pass cover at least half of the item's windows.
+document, and different values different ones. Windows are joined by the hash of their words, values included,
+too, so verbatim copies match whatever their words are. A document is contaminated by an item when the
+windows that pass cover at least half of the item's windows, or of those with enough literal words.
 
 Defined cases: null and empty texts match nothing; an item shorter than a window is one window
-of its own length; windows with too few literal words are not searched, as templates of mere
-placeholders match anything; items without any searchable window match nothing; rows are judged one by one, so
+of its own length; windows with too few literal words match only word for word, as templates of mere
+placeholders match anything; items without any word match nothing; rows are judged one by one, so
 repeated rows repeat their results; items with the same text are reported each; null ids are
 carried as null. Empty tables give empty results. Other columns are ignored.
 """
@@ -145,8 +146,31 @@ def windows(doc: tuple, size: int, known: np.ndarray | None = None) -> Iterator[
         yield at, mix(h + np.uint64(size))
 
 
+def verbatim(who: np.ndarray, own: np.ndarray, size: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all windows of `size` words inside one text, values included; with `known`, of known words."""
+    n = len(who) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    fit = who[:n] == who[size - 1 :]
+    if known is not None:
+        strange = np.concatenate([[0], np.cumsum(~known)])
+        fit &= strange[size:] == strange[:n]
+    at = np.flatnonzero(fit)
+    h, factors = np.zeros(len(at), np.uint64), powers(size + 1)[1:]
+    for k in range(size):
+        h += own[at + k] * factors[k]
+    return at, mix(h + np.uint64(size))
+
+
+def _ordered(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+    h = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
+    order = np.argsort(h, kind="stable")
+    return at[order], h[order]
+
+
 class Templates:
-    """Canonical items of a block of the benchmark and their windows, sorted by hash."""
+    """Canonical items of a block of the benchmark and their windows, sorted by hash of the template and of the words."""
 
     def __init__(self, texts: list[str]):
         data, offsets = flat(pa.array(texts, pa.large_string()))
@@ -156,16 +180,21 @@ class Templates:
         self.words = np.bincount(self.who, minlength=n)
         #: Words that stand for themselves somewhere, sorted.
         self.literals = np.unique(self.own[(self.kind == 0) | (self.kind == EITHER)])
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        self.vocabulary = np.unique(self.own)
+        parts, plain = [], []
         self.sizes = sorted({int(min(w, WINDOW)) for w in self.words if w})
         for size in self.sizes:
-            for at, h in windows(doc, size):
-                mine = np.minimum(self.words[self.who[at]], WINDOW) == size
-                parts.append((at[mine], h[mine]))
-        at, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(h, kind="stable")
-        self.at, self.h = at[order], h[order]
-        self.windows = np.bincount(self.who[np.unique(at)], minlength=n)
+            mine = np.minimum(self.words[self.who], WINDOW) == size
+            parts += [(at[mine[at]], h[mine[at]]) for at, h in windows(doc, size)]
+            at, h = verbatim(self.who, self.own, size)
+            plain.append((at[mine[at]], h[mine[at]]))
+        self.at, self.h = _ordered(parts)
+        self.plain_at, self.plain_h = _ordered(plain)
+        #: Whether a window that begins here has enough literals for its slots to be exchanged.
+        self.open = np.zeros(len(self.who), bool)
+        self.open[self.at] = True
+        self.windows = np.bincount(self.who[self.plain_at], minlength=n)
+        self.open_windows = np.bincount(self.who[self.open], minlength=n)
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -215,27 +244,33 @@ def _slots(items: Templates, size: int, doc: tuple, d_at: np.ndarray, i_at: np.n
     return ok
 
 
-def matches(items: Templates, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, item, matching windows that are consistent, and those of them with another slot value."""
-    out = [np.zeros((4, 0), np.int64)]
+def matches(items: Templates, data: np.ndarray, offsets: np.ndarray, cover: float = COVER) -> tuple[np.ndarray, ...]:
+    """Text, item that contaminates it, matching windows that are consistent, those of them with another slot value, and windows of the item.
+
+    Counted are all windows of the item, or only those with enough literals where a larger share of them matches.
+    """
+    out = [np.zeros((5, 0), np.int64)]
     for a, b in pieces(offsets):
         doc = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         who, _, own, _ = doc
         found = []
-        known = _among(own, items.literals)
+        known, listed = _among(own, items.literals), _among(own, items.vocabulary)
         for size in items.sizes:
             pairs = [np.zeros((2, 0), np.int64)]
             for at, h in windows(doc, size, known):
                 hit, place = _hits(items.h, h)
                 pairs.append(np.stack([at[hit], items.at[place]]))
+            at, h = verbatim(who, own, size, listed)
+            hit, place = _hits(items.plain_h, h)
+            pairs.append(np.stack([at[hit], items.plain_at[place]]))
             # Two windows may match in several forms.
             d_at, i_at = np.unique(np.concatenate(pairs, axis=1), axis=1)
             mine = np.minimum(items.words[items.who[i_at]], WINDOW) == size
             d_at, i_at = d_at[mine], i_at[mine]
-            ok = _slots(items, size, doc, d_at, i_at)
-            d_at, i_at = d_at[ok], i_at[ok]
             shift = np.arange(size)
             changed = (own[d_at[:, None] + shift] != items.own[i_at[:, None] + shift]).any(axis=1)
+            ok = _slots(items, size, doc, d_at, i_at) | ~changed
+            d_at, i_at, changed = d_at[ok], i_at[ok], changed[ok]
             found.append(np.stack([who[d_at] + a, items.who[i_at], i_at, changed]))
         if found:
             rows = np.concatenate(found, axis=1)
@@ -247,7 +282,11 @@ def matches(items: Templates, data: np.ndarray, offsets: np.ndarray) -> tuple[np
             if rows.shape[1]:
                 pair, inverse = np.unique(rows[:2], axis=1, return_inverse=True)
                 inverse = inverse.reshape(-1)
-                out.append(np.stack([pair[0], pair[1], np.bincount(inverse), np.bincount(inverse, weights=rows[3]).astype(np.int64)]))
+                n, n_open = np.bincount(inverse), np.bincount(inverse, weights=items.open[rows[2]]).astype(np.int64)
+                changed, whole, some = np.bincount(inverse, weights=rows[3]).astype(np.int64), items.windows[pair[1]], items.open_windows[pair[1]]
+                fewer = n_open * whole > n * some
+                n, whole = np.where(fewer, n_open, n), np.where(fewer, some, whole)
+                out.append(np.stack([pair[0], pair[1], n, changed, whole])[:, n >= np.ceil(cover * whole)])
     return tuple(np.concatenate(out, axis=1))
 
 
@@ -288,10 +327,7 @@ def _search(block, cover: float, schema: str):
         items = Templates([t for _, t in block.value])
         ids = pa.array([i for i, _ in block.value], pa.int64())
         for batch in batches:
-            who, item, n, changed = matches(items, *flat(batch.column(1)))
-            whole = items.windows[item]
-            keep = n >= np.ceil(cover * whole)
-            who, item, n, changed, whole = who[keep], item[keep], n[keep], changed[keep], whole[keep]
+            who, item, n, changed, whole = matches(items, *flat(batch.column(1)), cover)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(who)), ids.take(pa.array(item)), pa.array(n), pa.array(changed), pa.array(whole), pa.array(n / np.maximum(whole, 1))], names=names
             )
@@ -308,9 +344,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = Templates([t for _, t in held.value])
             for batch in batches:
-                who, item, n, _ = matches(items, *flat(batch.column(text)))
                 keep = np.ones(batch.num_rows, bool)
-                keep[who[n >= np.ceil(cover * items.windows[item])]] = False
+                keep[matches(items, *flat(batch.column(text)), cover)[0]] = False
                 yield batch.filter(pa.array(keep)).select(names)
 
         out = out.mapInArrow(run, schema)

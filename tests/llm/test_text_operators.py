@@ -152,6 +152,18 @@ def test_names_that_begin_sentences_are_exchanged(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs_of(spark, [(1, changed), (7, "Mia has a dog.")]), benchmark).collect()] == [7]
 
 
+def test_verbatim_copies_with_few_literals_are_found(spark):
+    items = ["What is 15 + 27 * 3 - 8?", "Compute 12 * 34 + 56 * 78.", "Solve 3x + 5 = 20.", "What is 25% of 480?", "Add 4 to 9, 16 to 25, 36 to 49, 64 to 81 and then name the next number of the row"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, f"Intro. {t} The end.") for k, t in enumerate(items)] + [(10, "What is 16 + 28 * 4 - 9? What is 30% of 500?"), (11, items[4].upper()), (12, items[4].split(" next")[0]), (13, "Solve it.")]
+    docs = docs_of(spark, rows)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert set(got) == {(k, k) for k in range(5)} | {(11, 4), (12, 4)}
+    assert all(r["n_changed"] == 0 and r["n_windows"] <= r["item_windows"] and r["share"] <= 1.0 for r in got.values())
+    assert got[0, 0]["share"] == got[4, 4]["share"] == got[11, 4]["share"] == 1.0 and 0.5 <= got[12, 4]["share"] < 1.0
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()) == [10, 13]
+
+
 def test_benchmark_passages_of_the_documents(spark):
     """Brute force: a document with all words of an item in a row is reported, and one without eight of them is not."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()

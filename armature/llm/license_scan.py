@@ -1,16 +1,21 @@
 """License scans: a trained paragraph classifier over sparse word n-grams.
 
-Paragraphs are lines. A paragraph's features are its word n-grams (one to three lower-cased words) that hold
-at least one cue word. Only paragraphs with a stem of a licence word are
-scored; others are of no family. A multinomial
+Candidates are single lines and the joined lines of paragraphs, which end at lines without a letter or digit
+(bare comment marks count as such). Paragraphs of several lines are read in stretches of 2 * STRETCH words that begin every
+STRETCH words, so each run of as many words, more than any template has, lies whole in one. A candidate's features are its
+word n-grams (one to three lower-cased words) that hold at least one cue word. All with a cue word or a stem of a licence word
+are scored; others are of no family. A multinomial
 logistic regression over these features is fitted on labelled paragraphs made from the templates below
 (whole, in parts, with other names and years) and on ordinary paragraphs that use the same
 words, the class `unknown`. A family is predicted when its probability passes a threshold calibrated on labelled
 paragraphs kept out of the fit, else the paragraph is unknown. A prediction is confirmed when the
 best template of its family shares enough of its word trigrams with the paragraph.
 
+A paragraph's stretches add a row for a family that they confirm and no single line of it does, and one for an
+unconfirmed family where nothing else of the paragraph is of any.
+
 Everything is DataFrame functions and Spark's own logistic regression: one pass over the texts, no
-shuffle of texts and no Python on executors. Templates, vocabulary and weights don't grow with the corpus.
+shuffle of texts (only of the outcomes) and no Python on executors. Templates, vocabulary and weights don't grow with the corpus.
 
 Defined cases: null and empty texts have no paragraphs; a text that is one very long line is one paragraph;
 rows are judged one by one, so repeated rows and null ids repeat their results; other columns are
@@ -26,7 +31,7 @@ from functools import lru_cache
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -35,6 +40,8 @@ FALSE_SHARE = 0.0
 LEAST = 0.5
 #: Share of a template's trigrams that confirms a prediction.
 CONFIRM = 0.6
+#: Words of any stretch that is seen whole; the longest template has fewer.
+STRETCH = 64
 
 #: Words that features must hold one of.
 CUES = (
@@ -42,8 +49,9 @@ CUES = (
     "redistribution redistributions redistribute spdx gpl lgpl agpl gnu apache mit isc bsd mozilla mpl unlicense cc cc0 creativecommons commons "
     "noncommercial attribution sharealike proprietary confidential unencumbered merchantability infringement"
 ).split()
-#: What a lower-cased paragraph must hold one of to be looked at; `mit`, `gnu` or `commons` alone are ordinary words.
+#: What a lower-cased candidate must hold one of to be looked at, if not a cue word.
 STEMS = "licen|copyr|copyleft|permission|warrant|redistribut|spdx|gpl|cc by|cc-by|cc0|proprietary|merchantab|all rights|unencumbered"
+LOOKED_AT = STEMS + r"|(?<![\p{L}\p{N}])(?:" + "|".join(CUES) + r")(?![\p{L}\p{N}])"
 
 #: Notices of licence families, as they stand in headers and documents.
 TEMPLATES = {
@@ -150,6 +158,12 @@ ORDINARY = [
     "The Mozilla office is on the third floor.",
     "You may use the room with the permission of the owner.",
     "The general public was not admitted to the hearing about the license.",
+    "Er kam mit dem Zug und ging mit seiner Schwester nach Hause.",
+    "Das Haus mit dem roten Dach steht am Ende der Stadt.",
+    "Wir fahren mit den Kindern an das Meer.",
+    "Sie spricht mit ihm und mit der Mutter.",
+    "Ein Brot mit Butter, bitte.",
+    "Mit der Zeit wurde es still.",
 ]
 
 
@@ -269,15 +283,58 @@ def classified(lines: DataFrame, model: Model) -> DataFrame:
     return out.select("*", "_best.family", "_best.probability").drop("_at", "_l", "_top", "_best")
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """Lines and stretches of paragraphs to be scored: place of the row and first line of the paragraph (_row, _block), paragraph, joined, cut sides, words, notice."""
+    rows = docs.filter(F.lower("text").rlike(LOOKED_AT)).withColumn("_row", F.monotonically_increasing_id())
+    # Lines get their number before them; a line without a letter or digit becomes a mark between paragraphs.
+    lines = F.split(F.translate("text", "\x01\x02\x03", "   "), "\n")
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x03"), x)).otherwise("\x02"))
+    blocks = rows.select("doc_id", "_row", F.explode(F.split(F.array_join(marked, "\n"), "\x02")).alias("_text")).filter(F.lower("_text").rlike(LOOKED_AT))
+    blocks = blocks.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x != "")).withColumn("_block", F.regexp_extract("_text", "\x01([0-9]+)\x03", 1).cast("long"))
+    # A row of one made by explode: the words are then not cut again for each use.
+    words = words_of(F.regexp_replace("_text", "\x01[0-9]+\x03", " "))
+    blocks = blocks.withColumn("_words", F.explode(F.array(F.when(F.size("_lines") > 1, words).otherwise(F.array().cast("array<string>")))))
+    n = F.size("_words")
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - STRETCH - 1, F.lit(0)), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+
+    def one(x: Column) -> Column:
+        text = F.substring_index(x, "\x03", -1)
+        number = F.regexp_extract(x, "\x01([0-9]+)\x03", 1).cast("long")
+        return F.struct(number.alias("paragraph"), F.lit(False).alias("joined"), F.lit(False).alias("cut_before"), F.lit(False).alias("cut_after"), words_of(text).alias("words"), text.alias("notice"))
+
+    def stretch(i: Column) -> Column:
+        part = F.slice("_words", i + 1, F.lit(2 * STRETCH))
+        return F.struct(F.col("_block").alias("paragraph"), F.lit(True).alias("joined"), (i > 0).alias("cut_before"), (i + 2 * STRETCH < n).alias("cut_after"), part.alias("words"), F.array_join(part, " ").alias("notice"))
+
+    single = F.transform(F.filter("_lines", lambda x: F.lower(x).rlike(LOOKED_AT)), one)
+    cues = F.array(*[F.lit(c) for c in CUES])
+    whole = F.filter(F.transform(starts, stretch), lambda x: F.arrays_overlap(x["words"], cues))
+    return blocks.select("doc_id", "_row", "_block", F.explode(F.concat(single, whole)).alias("_c")).select("doc_id", "_row", "_block", "_c.*")
+
+
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", confirm: float = CONFIRM) -> DataFrame:
-    """A row for each paragraph of a family: doc_id, paragraph (from 0), family, probability, similarity, confirmed, notice."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.lower("text").rlike(STEMS))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "notice")).filter(F.lower("notice").rlike(STEMS))
-    best = classified(lines.withColumn("words", words_of(F.col("notice"))), model)
+    """A row for each notice: doc_id, paragraph (number of its first line, from 0), family, probability, similarity, confirmed, notice.
+
+    The notice of joined lines is the words of the stretch.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    best = classified(candidates(rows), model)
     found = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold)).withColumn("trigrams", grams(F.col("words"), 3))
-    shares = []
+    shares, edges = [], []
     for family, own in _templates(docs.sparkSession).items():
         each = [F.size(F.array_intersect("trigrams", _texts(g))) / len(g) for g in own]
         shares.append(F.when(F.col("family") == family, F.greatest(*each) if len(each) > 1 else each[0]))
-    close = found.withColumn("similarity", F.coalesce(*shares))
-    return close.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"), "notice")
+        ends = _texts(sorted({x for g in own for x in g}))
+        clipped = (F.col("cut_before") & F.array_contains(ends, F.get("trigrams", F.lit(0)))) | (F.col("cut_after") & F.array_contains(ends, F.element_at("trigrams", -1)))
+        edges.append(F.when(F.col("family") == family, clipped))
+    clipped = F.when(F.col("cut_before") | F.col("cut_after"), F.coalesce(*edges)).otherwise(False)
+    close = found.withColumn("similarity", F.coalesce(*shares)).withColumn("confirmed", F.col("similarity") >= confirm).withColumn("_clipped", F.coalesce(clipped, F.lit(False)))
+    close = close.select("doc_id", "_row", "_block", "paragraph", "joined", "family", "probability", "similarity", "confirmed", "_clipped", "notice")
+
+    block, same = Window.partitionBy("_row", "_block"), Window.partitionBy("_row", "_block", "family")
+    order = same.orderBy("joined", F.desc("confirmed"), F.desc("similarity"), F.desc("probability"))
+    seen = close.withColumn("_line_of_it", F.max(F.expr("not joined and confirmed")).over(same)).withColumn("_others", F.max(F.expr("not joined or confirmed")).over(block)).withColumn("_most", F.max("similarity").over(block))
+    seen = seen.withColumn("_place", F.row_number().over(order)).withColumn("_lines", F.sum(F.expr("if(joined, 0, 1)")).over(same))
+    # A notice that a stretch's end cuts may look like that of another family; the next stretch has it whole.
+    added = F.expr("joined and _place = _lines + 1 and not (_clipped and similarity < _most)") & F.when(F.col("confirmed"), ~F.col("_line_of_it")).otherwise(~F.col("_others"))
+    return seen.filter(~F.col("joined") | added).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "notice")

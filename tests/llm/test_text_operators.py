@@ -191,6 +191,31 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    model = license_scan.train(spark)
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+    filler = "\n".join(["some words of a long text that has no blank line in it at all"] * 30)
+    longest = max(len(re.findall(r"[^\W_]+", x)) for texts in license_scan.TEMPLATES.values() for x in texts)
+    assert longest <= license_scan.STRETCH
+    commented = "import os\n\n# " + gpl.replace("\n", "\n# ") + "\n#\n# Other words.\n"
+    rows = [(1, "MIT\n\n" + mit), (2, commented), (3, "Intro\n \t\n" + bsd), (4, filler + "\n" + mit + "\n" + filler), (5, "Er ging mit dem Hund.\nSie kam mit der Katze\nund mit dem Zug."), (5, "one\ntwo"), (None, gpl.replace(" ", "\n"))]
+    got = {((r["doc_id"] or 0), r["paragraph"], r["family"]) for r in license_scan.scan(docs_of(spark, rows), model).collect() if r["confirmed"]}
+    assert got == {(0, 0, "gpl"), (1, 2, "mit"), (2, 2, "gpl"), (3, 2, "bsd"), (4, 0, "mit")}
+    assert {r["doc_id"] for r in license_scan.scan(docs_of(spark, rows), model).collect()} == {None, 1, 2, 3, 4}
+
+
 # ---- 8 ----
 
 PATTERNS = [

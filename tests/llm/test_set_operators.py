@@ -269,6 +269,16 @@ def test_jaccard_join_against_brute_force(spark, family_bytes):
     assert sorted(kept) == sorted({c for _, n, c in linked(rows) if n} | {900, 901, 902})
 
 
+def test_one_of_each_where_ids_are_shared(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    # Id 1 names three groups, two of which have a copy under another id.
+    rows = [(1, a, "x"), (2, a, "x"), (1, b, "y"), (3, b.upper(), "y"), (1, c, "z"), (1, c.upper(), "z"), (4, "v w x y z aa", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at string")
+    for parts in (1, 5):
+        got = sorted(tuple(r) for r in jaccard_join.one_of_each(docs.repartition(parts)).collect())
+        assert got == sorted([(1, a, "x"), (1, b, "y"), (1, c.upper(), "z"), (4, "v w x y z aa", "w")])
+
+
 def test_jaccard_join_of_the_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in queries.op9_jaccard_join(spark, SF_DIR).collect()) == linked(rows)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, mtree, reshard, secret_scan, suffix_dedup, token_files
+from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, mtree, reshard, secret_scan, suffix_dedup, token_files, url_filter
 from armature.plans.lookups import settled
 from armature.session import new_dir
 
@@ -183,3 +183,11 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = reshard.plan(reshard.read_old(spark, old_path), shards=16)
     found = reshard.with_slots(reshard.rewrite(spark, old_path, new_path, layout))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---- 12 URL filter ----
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(url_filter.made(spark)))

@@ -100,6 +100,11 @@ def digits(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise((n - F.length(F.translate(text, "0123456789", ""))) / n)
 
 
+def name_of(host: Column) -> Column:
+    """The host without its last label."""
+    return F.left(host, F.greatest(F.lit(0), F.length(host) - F.length(F.substring_index(host, ".", -1)) - 1))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered(text), "[^a-z]+"), lambda w: w != "")
 
@@ -129,7 +134,6 @@ def features(url: Column, host: Column, path: Column, known: Statistics) -> dict
     """Features of a url that is not null."""
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
     labels = F.split(host, r"\.")
-    name = F.regexp_replace(host, r"\.?[^.]*\z", "")
     rest = F.concat_ws("/", path, query)
     return {
         "length": F.log1p(F.length(url).cast("double")),
@@ -143,7 +147,7 @@ def features(url: Column, host: Column, path: Column, known: Statistics) -> dict
         "rest_entropy": entropy(rest),
         "parameters": F.size(F.filter(F.split(query, "[&;]"), lambda s: s != "")).cast("double"),
         "suffix": known.suffix(F.element_at(labels, -1)),
-        "host_words": known.total(words_of(name)),
+        "host_words": known.total(words_of(name_of(host))),
         "rest_words": known.total(words_of(rest)),
     }
 
@@ -218,7 +222,7 @@ def statistics(labelled: DataFrame) -> Statistics:
         return tuple(sorted((r["k"], r["v"]) for r in kept.collect()))
 
     suffixes = labelled.select(F.element_at(F.split("host", r"\."), -1).alias("k"), "unwanted").filter("k <> '' and k not like '%,%'")
-    text = F.concat_ws(" ", F.regexp_replace("host", r"\.?[^.]*\z", ""), F.regexp_replace("url", r"(?s)\A.*?://[^/?#]*", ""))
+    text = F.concat_ws(" ", name_of(F.col("host")), F.regexp_replace("url", r"(?s)\A.*?://[^/?#]*", ""))
     words = labelled.select(F.explode(F.array_distinct(words_of(text))).alias("k"), "unwanted")
     return Statistics(odds(suffixes, WORDS), odds(words, WORDS))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, mtree, reshard, secret_scan, suffix_dedup, token_files, url_filter
+from armature.llm import decontaminate, jaccard_join, langid, license_scan, mixing, mtree, reshard, secret_scan, spelling, suffix_dedup, token_files, url_filter
 from armature.plans.lookups import settled
 from armature.session import new_dir
 
@@ -185,6 +185,47 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ---- 11 spelling variants ----
+
+# The checksum (CRC-32, polynomial 0xEDB88320) has no function in this dialect: its table and bytes are folded with lists.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(9), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(b AS BIGINT))) AS tab),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+d AS (SELECT doc_id, run, count(*) AS times FROM r GROUP BY ALL),
+x AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM d),
+c AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_transform(range(len(h) // 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)),
+    lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8), CAST(4294967295 AS BIGINT))) AS crc
+  FROM x, t),
+w AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, times FROM c),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM e a JOIN v b ON a.less = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM e a JOIN v b ON a.less = b.word),
+g AS (
+  SELECT v.word, any_value(v.n) AS n, count(near) AS n_near, min(near) FILTER (near_n = most) AS best, any_value(most) AS most
+  FROM v LEFT JOIN (SELECT *, max(near_n) OVER (PARTITION BY word) AS most FROM p) p ON v.word = p.word GROUP BY v.word),
+f AS (SELECT word, CASE WHEN most >= 2 * n THEN best END AS form, n, n_near, CASE WHEN most >= 2 * n THEN most END AS form_n FROM g),
+s AS MATERIALIZED (SELECT word, form FROM f WHERE form IS NOT NULL),
+z AS (
+  WITH RECURSIVE y AS (SELECT word, form AS at FROM s UNION ALL SELECT y.word, s.form FROM y JOIN s ON y.at = s.word)
+  SELECT word, at AS root FROM y WHERE at NOT IN (SELECT word FROM s))
+SELECT f.word, form, coalesce(z.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON f.word = z.word
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 # ---- 12 URL filter ----
 
 

@@ -190,7 +190,7 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The checksum (CRC-32, polynomial 0xEDB88320) has no function in this dialect: its table and bytes are folded with lists.
 OP11_SQL = r"""
 WITH t AS (
-  SELECT list_transform(range(256), lambda b: list_reduce(range(9), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(b AS BIGINT))) AS tab),
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(b AS BIGINT))) AS tab),
 r AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
   FROM documents),
@@ -215,8 +215,8 @@ g AS (
 f AS (SELECT word, CASE WHEN most >= 2 * n THEN best END AS form, n, n_near, CASE WHEN most >= 2 * n THEN most END AS form_n FROM g),
 s AS MATERIALIZED (SELECT word, form FROM f WHERE form IS NOT NULL),
 z AS (
-  WITH RECURSIVE y AS (SELECT word, form AS at FROM s UNION ALL SELECT y.word, s.form FROM y JOIN s ON y.at = s.word)
-  SELECT word, at AS root FROM y WHERE at NOT IN (SELECT word FROM s))
+  WITH RECURSIVE y AS (SELECT word, form AS tip FROM s UNION ALL SELECT y.word, s.form FROM y JOIN s ON y.tip = s.word)
+  SELECT word, tip AS root FROM y WHERE tip NOT IN (SELECT word FROM s))
 SELECT f.word, form, coalesce(z.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON f.word = z.word
 """
 

@@ -7,6 +7,7 @@ returns the written table.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -31,16 +32,14 @@ def _events(fx, late: str = S.LATE) -> DataFrame:
     return S.read_telemetry(fx.spark, root, fx.table("events").schema, late, glob=glob)
 
 
-#: Rows that the watermark has passed when all rows are read; the others still wait.
-PASSED = "epoch_us(ts) < (SELECT (epoch_ms(max(ts)) - 10000) * 1000 FROM events)"
-
-
-def _run(fx, df: DataFrame, label: str) -> DataFrame:
+def _run(fx, df: DataFrame, label: str, tail: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """What the stream has written, and what `tail` finds in its state when it has ended."""
     S.use_rocksdb(fx.spark)
     path, state = new_dir(fx.spark, label), new_dir(fx.spark, f"{label}-state")
     with _state_partitions(fx.spark):
         S.write_stream(df, path, state).awaitTermination()
-    return fx.spark.read.schema(df.schema).parquet(path)
+    done = fx.spark.read.schema(df.schema).parquet(path)
+    return done if tail is None else done.unionByName(tail(state))
 
 
 @contextmanager
@@ -75,12 +74,12 @@ rb AS (SELECT CAST(episode_index % 8 AS VARCHAR) AS robot, row_number() OVER (PA
     "stream_smooth",
     f"WITH {recursion([('ema', 0.3), ('limit', 5.0)], _ROBOTS, 'rb', ('robot',), 'n')} SELECT robot, event_id, "
     + ", ".join(sql_r6(f"z1_{i}", f"y{i}") for i in range(6))
-    + f" FROM r JOIN src USING (robot, n) WHERE event_id IN (SELECT event_id FROM events WHERE {PASSED})",
+    + " FROM r JOIN src USING (robot, n)",
 )
 def stream_smooth(fx):
-    """Rows the watermark has passed, smoothed in event-time order."""
+    """All rows, smoothed in event-time order: most in the stream, those that wait at its end in its tail."""
     live = _events(fx).select(_robot(), "ts", "event_id", _joints())
-    done = _run(fx, S.smooth_stream(live, "event_id"), "stream-smooth")
+    done = _run(fx, S.smooth_stream(live, "event_id"), "stream-smooth", lambda at: S.tail(fx.spark, at, S.OnlineSmoother(), S.SMOOTHED))
     return done.select("robot", F.col("order_id").alias("event_id"), *spread("smoothed", "y", 6))
 
 
@@ -156,23 +155,22 @@ def recorded_episodes_blocked(fx):
 
 @query(
     "stream_episodes",
-    f"WITH {_MACHINE.replace('FROM events)', f'FROM events WHERE {PASSED})')} SELECT robot, episode, frames, first_id, verdict FROM ep WHERE verdict IS NOT NULL",
+    f"WITH {_MACHINE} SELECT robot, episode, frames, first_id, verdict FROM ep WHERE verdict IS NOT NULL",
 )
 def stream_episodes(fx):
-    """Episodes finished by a row that the watermark has passed."""
+    """Episodes that the stream or its tail has finished."""
     live = _events(fx).select(_robot(), "ts", "event_id", _key())
-    return _run(fx, S.record_stream(live, "event_id"), "stream-episodes")
+    return _run(fx, S.record_stream(live, "event_id"), "stream-episodes", lambda at: S.tail(fx.spark, at, S.EpisodeRecorder(), S.RECORDED))
 
 
 _PRESSED = """CASE WHEN event_id % 17 = 0 THEN 'left' WHEN event_id % 23 = 0 THEN 'right' WHEN event_id % 29 = 0 THEN 'esc'
   WHEN event_id % 31 = 0 THEN 'quit' WHEN event_type = 'signup' THEN 'B' WHEN event_type = 'purchase' THEN 'N' WHEN event_type = 'error' THEN 'R' END"""
 
 
-def _recorder(where: str = "") -> str:
-    """Episodes that were finished and not taken back, with every key of the recorder."""
-    return f"""
+# Episodes that were finished and not taken back, with every key of the recorder.
+_RECORDER = f"""
 k AS (SELECT CAST(user_id % 8 AS VARCHAR) AS robot, event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS position,
-  {_PRESSED} AS key FROM events {where}),
+  {_PRESSED} AS key FROM events),
 b AS (SELECT *, coalesce(last_value(key IGNORE NULLS) OVER (PARTITION BY robot ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last FROM k),
 n AS (SELECT *, sum(CASE WHEN key = 'B' AND last <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY robot ORDER BY position ROWS UNBOUNDED PRECEDING) - 1 AS episode FROM b),
 ep AS (SELECT robot, CAST(episode AS BIGINT) AS episode, count(*) FILTER (last = 'B' AND key IS NULL) AS frames, arg_min(event_id, position) FILTER (last = 'B' OR key = 'B') AS first_id,
@@ -187,7 +185,7 @@ def _pressed():
     return odd.when(kind == "signup", "B").when(kind == "purchase", "N").when(kind == "error", "R").alias("key")
 
 
-@query("recorder_keys", f"WITH {_recorder()}")
+@query("recorder_keys", f"WITH {_RECORDER}")
 def recorder_keys(fx):
     """The state machine over the table with every key: also next, stop, quit and taking back."""
     rows = fx.table("events").select(_robot(), "ts", "event_id", _pressed())
@@ -197,20 +195,22 @@ def recorder_keys(fx):
     return found.join(ids, ["robot", "first_position"]).select("robot", "episode", "frames", "first_id", "verdict")
 
 
-@query("stream_recorder_keys", f"WITH {_recorder(f'WHERE {PASSED}')}")
+@query("stream_recorder_keys", f"WITH {_RECORDER}")
 def stream_recorder_keys(fx):
-    """The same on the stream, for rows that the watermark has passed."""
+    """The same on the stream and its tail."""
     live = _events(fx).select(_robot(), "ts", "event_id", _pressed())
-    return S.kept_episodes(_run(fx, S.record_stream(live, "event_id"), "stream-recorder"))
+    found = _run(fx, S.record_stream(live, "event_id"), "stream-recorder", lambda at: S.tail(fx.spark, at, S.EpisodeRecorder(), S.RECORDED))
+    return S.kept_episodes(found)
 
 
 _FIRST = "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(min(ts)) AS order_ts, arg_min(event_id, ts) AS order_id FROM events WHERE value > 150 GROUP BY user_id"
 
 
-@query("stream_first_grasp", f"{_FIRST} HAVING min({PASSED.split(' < ')[0]}) < {PASSED.split(' < ')[1]}")
+@query("stream_first_grasp", _FIRST)
 def stream_first_grasp(fx):
     live = _events(fx).select("user_id", "ts", "event_id", "value")
-    return _run(fx, S.first_grasps(live, F.col("value") > 150, "user_id", "event_id"), "stream-first-grasp")
+    grasps = S.first_grasps(live, F.col("value") > 150, "user_id", "event_id")
+    return _run(fx, grasps, "stream-first-grasp", lambda at: S.first_tail(fx.spark, at))
 
 
 @query("first_grasps", _FIRST)

@@ -66,18 +66,17 @@ class InOrder(StatefulProcessor):
     Rows wait in state until the watermark has passed them: rows that may still come before
     them are later than the watermark and were dropped. What waits is bounded by the rows of a key
     within the watermark's delay and a micro-batch. `row` is the schema of a row: order_ts in
-    microseconds, order_id, then what `take` needs.
+    microseconds, order_id, then what `take` needs; `kept` that of the value state `past` that `take` keeps.
+    Rows that still wait when a finite stream has ended are taken by `tail`.
     """
 
     row = ""
+    kept = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row)
-        self.begin(handle)
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        """Open the state that `take` keeps."""
+        self.past = handle.getValueState("past", self.kept)
 
     def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
@@ -110,6 +109,49 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class _Held:
+    """A value state outside a stream."""
+
+    def __init__(self, value: tuple | None):
+        self.value = value
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+
+def state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """Rows of a state variable as a stopped stream has left them: `_key` and the fields of the state."""
+    use_rocksdb(spark)
+    rows = spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+    value = "list_element" if "list_element" in rows.columns else "value"
+    return rows.select(F.col("key").getField(rows.schema["key"].dataType.fieldNames()[0]).alias("_key"), f"{value}.*")
+
+
+def tail(spark: SparkSession, checkpoint: str, processor: InOrder, schema: str) -> DataFrame:
+    """What `processor` gives for the rows that still wait in a stream that has ended, with the state it had then.
+
+    A finite input is whole with these rows. A stream that goes on from the checkpoint gives them itself,
+    once its watermark has passed them. A key's rows that wait are bounded as in the stream.
+    """
+    fields = [c.split()[0] for c in processor.row.split(", ")]
+    kept = [c.split()[0] for c in processor.kept.split(", ")]
+
+    def finish(key, waiting: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        processor.past = _Held(tuple(past[kept].iloc[0]) if len(past) else None)
+        rows = waiting[fields].sort_values(["order_ts", "order_id"], kind="stable", ignore_index=True)
+        found = list(processor.take(key, rows)) if len(rows) else []
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
+
+    waiting, past = state_of(spark, checkpoint, "waiting"), state_of(spark, checkpoint, "past")
+    return waiting.groupBy("_key").cogroup(past.groupBy("_key")).applyInPandas(finish, schema)
+
+
 def _plain(value):
     """A value of a frame as the state store takes it."""
     if isinstance(value, np.ndarray):
@@ -123,20 +165,18 @@ class OnlineSmoother(InOrder):
     """Moving average, then limiter, per robot; one state row of two vectors beside the rows that wait."""
 
     row = "order_ts long, order_id long, joints array<double>"
+    kept = "ema array<double>, limited array<double>"
 
     def __init__(self, alpha: float = SMOOTHING_ALPHA, max_delta: float = SMOOTHING_MAX_DELTA):
         self.alpha, self.max_delta = alpha, max_delta
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ema array<double>, limited array<double>")
-
     def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        known = self.last.exists()
+        known = self.past.exists()
         x = np.array([list(j) for j in rows["joints"]], dtype=float)
-        states = [np.array([v], dtype=float) for v in self.last.get()] if known else [np.zeros((1, x.shape[1])) for _ in "ab"]
+        states = [np.array([v], dtype=float) for v in self.past.get()] if known else [np.zeros((1, x.shape[1])) for _ in "ab"]
         stages = [("ema", self.alpha), ("limit", self.max_delta)]
         smoothed = advance(x, np.array([0]), np.array([len(x)]), np.array([known]), states, stages)
-        self.last.update(tuple(s[0].tolist() for s in states))
+        self.past.update(tuple(s[0].tolist() for s in states))
         yield pd.DataFrame({"robot": key[0], "order_id": rows["order_id"].to_numpy(np.int64), "smoothed": smoothed.tolist()})
 
 
@@ -221,13 +261,11 @@ class EpisodeRecorder(InOrder):
     verdict `discarded` for one that is taken back after it was finished."""
 
     row = "order_ts long, order_id long, key string"
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.phase = handle.getValueState("phase", "last string, episode long, frames long, first long")
+    kept = "last string, episode long, frames long, first long"
 
     def take(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         # `episode` counts the starts made so far.
-        last, episode, frames, first = self.phase.get() if self.phase.exists() else ("", 0, 0, 0)
+        last, episode, frames, first = self.past.get() if self.past.exists() else ("", 0, 0, 0)
         batch = rows.reset_index(drop=True)
         pressed = batch["key"].where(batch["key"].isin(CONTROLS))
         before = pressed.ffill().shift(1).fillna(last)
@@ -251,7 +289,7 @@ class EpisodeRecorder(InOrder):
         current = int(number.iloc[-1])
         if current in done.index:
             frames, first = int(done.loc[current, "frames"]), int(done.loc[current, "first_id"])
-        self.phase.update((last, current + 1, frames, first))
+        self.past.update((last, current + 1, frames, first))
         ended = done[done["verdict"].notna()].reset_index()
         back = (pressed == RERECORD) & before.isin(list(FINISHED)) & (number >= 0)
         taken = pd.DataFrame({"episode": number[back], "frames": 0, "first_id": batch["order_id"][back], "verdict": "discarded"})
@@ -274,6 +312,11 @@ def record_stream(telemetry: DataFrame, order_id: str) -> DataFrame:
     )
 
 
+def first_tail(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Keys of `first_grasps` whose earliest row still waits in a stream that has ended."""
+    return state_of(spark, checkpoint, "first").filter("not sent").withColumnRenamed("_key", "key").drop("sent")
+
+
 def kept_episodes(recorded: DataFrame) -> DataFrame:
     """Rows of finished episodes that were not taken back, of what `record_stream` has written."""
     taken = recorded.filter(F.col("verdict") == "discarded").select("robot", "episode").distinct()

@@ -102,6 +102,44 @@ def test_recorder_matches_the_batch_state_machine(spark, files):
     assert streamed
 
 
+def whole(spark, df, label, tail):
+    """What the stream wrote with what its tail finds."""
+    S.use_rocksdb(spark)
+    path, state = new_dir(spark, label), new_dir(spark, f"{label}-state")
+    S.write_stream(df, path, state).awaitTermination()
+    done, rest = spark.read.schema(df.schema).parquet(path), tail(state)
+    return done.count(), rest.count(), done.unionByName(rest)
+
+
+@pytest.mark.parametrize("late", [LATE, "10 minutes"])
+def test_finite_streams_come_out_whole(spark, files, late):
+    """Also with a delay longer than the whole table, when the stream itself gives nothing."""
+    live = S.read_telemetry(spark, files, SCHEMA, late, files_per_trigger=1)
+    written, waited, smooth = whole(spark, S.smooth_stream(live, "event_id", 0.4, 5.0), "smooth", lambda at: S.tail(spark, at, S.OnlineSmoother(0.4, 5.0), S.SMOOTHED))
+    assert written + waited == len(rows()) and (written == 0) == (late != LATE) and waited > 0
+    got, state = {r.order_id: r.smoothed for r in smooth.collect()}, {}
+    for robot, _, i, _, joints, _ in rows():
+        x = np.array(joints)
+        e, limited = state.get(robot, (x, x))
+        if robot in state:
+            e = 0.4 * x + 0.6 * e
+            limited = limited + np.clip(e - limited, -5, 5)
+        state[robot] = (e, limited)
+        np.testing.assert_allclose(got[i], limited)
+
+    _, _, recorded = whole(spark, S.record_stream(live, "event_id"), "record", lambda at: S.tail(spark, at, S.EpisodeRecorder(), S.RECORDED))
+    table = position(spark.createDataFrame(rows(), SCHEMA), ["robot"], ["ts", "event_id"])
+    ids = table.select("robot", F.col("position").alias("first_position"), F.col("event_id").alias("first_id"))
+    batch = S.recorded_episodes(S.label_episodes(table)).join(ids, ["robot", "first_position"])
+    columns = ["robot", "episode", "frames", "first_id", "verdict"]
+    assert sorted(map(tuple, S.kept_episodes(recorded).select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+
+    signal = F.col("latency_ms") > 30
+    _, _, first = whole(spark, S.first_grasps(live, signal, "robot", "event_id"), "grasp", lambda at: S.first_tail(spark, at))
+    batch = S.first_grasps(spark.createDataFrame(rows(), SCHEMA), signal, "robot", "event_id")
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_rate_closes_windows_behind_the_watermark(spark, files):
     live = S.read_telemetry(spark, files, SCHEMA, late="1 second", files_per_trigger=1)
     got = {(r.robot, r.window_start): r.events for r in finish(spark, S.loop_rate(live), "rate").collect()}

@@ -2,9 +2,11 @@
 
 A small pool is packed into one array per object and looked up: candidates are ranked
 inside the scene's row, so no pairs are emitted. A larger pool is cut into tiles of
-neighbouring poses. A scene first ranks the tile nearest to it, which bounds its k-th
-distance from above; it then visits just the tiles whose bounding box is not farther than
-that. No segment that could be among the k nearest is left out.
+poses that are close in position and rotation, and tiles into a tree of `FAN` children a node. A node has a box of
+positions and a cone of rotations (a quaternion and the largest angle to it), which bound the distance of all below.
+A scene first goes down to the tile whose middle seems nearest, which bounds its k-th distance from above; it then
+goes down level by level into just the nodes that are not farther than that. No segment
+that could be among the k nearest is left out, and no row lists more than one node's children.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 from armature.functions import poses as P
 from armature.functions import vectors as V
 from armature.functions.draws import Draw, keyed
-from armature.plans.blocks import position
+from armature.plans.blocks import position, rank_buckets
 from armature.plans.lookups import lookup_join, settled
 
 PACKED = 2048
+#: Segments of a tile, children of a node, and nodes of a level that are broadcast.
+TILE, FAN, SMALL_LEVEL = 256, 64, 2000
 
 #: Strategy -> (pose kept with a segment, pose of the scene it is compared with).
 #: Nearest by object compares object poses. Nearest by robot distance compares where the
@@ -47,8 +51,13 @@ def nearest_segments(
     pos_weight: float = 1.0,
     rot_weight: float = 1.0,
     packed: int = PACKED,
+    tile: int = TILE,
+    stats: list | None = None,
 ) -> DataFrame:
-    """Rows (scene, object, segment, distance, rank 1..k); ties go to the smaller segment id."""
+    """Rows (scene, object, segment, distance, rank 1..k); ties go to the smaller segment id.
+
+    A pool above `packed` segments is searched by its tree; `stats` gets the pairs of scene and tile that were ranked.
+    """
     if STRATEGIES.get(strategy) is None:
         raise ValueError(f"{strategy!r} does not rank segments")
     seg_pose, scene_pose = STRATEGIES[strategy]
@@ -60,8 +69,8 @@ def nearest_segments(
         members = pool.groupBy(on).agg(F.collect_list(F.struct("_pose", "_id")).alias("_members"))
         found = _rank(asked.join(F.broadcast(members), on), k, weights)
     else:
-        tiles = settled(_tiles(pool, on, packed, pool.count()), "tiles")
-        found = _from_tiles(asked, tiles, on, k, weights)
+        levels = _tree(pool, on, max(tile, 4 * k), weights)
+        found = _from_tree(settled(asked, "scenes"), levels, on, k, weights, stats)
     return found.select(
         F.col("_scene").alias(scene_id), on, F.col("_found._id").alias(segment_id), F.col("_found.distance"), "rank"
     )
@@ -116,66 +125,114 @@ def _rank(df: DataFrame, k: int, weights: tuple[float, float], keep: tuple[str,
     return ranked.withColumn("rank", F.col("_rank") + 1).drop("_rank")
 
 
-def _tiles(pool: DataFrame, on: str, packed: int, n: int) -> DataFrame:
-    """Packed arrays of neighbouring segments with bounding boxes.
+def _dot(a: Column, b: Column) -> Column:
+    return sum((F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(1, 4)), F.get(a, F.lit(0)) * F.get(b, F.lit(0)))
+
+
+def _turn(a: Column, b: Column) -> Column:
+    """Angle between two unit quaternions."""
+    return F.lit(2.0) * F.acos(F.least(F.lit(1.0), F.abs(_dot(a, b))))
+
+
+def _is_unit(q: Column) -> Column:
+    return F.abs(_dot(q, q) - 1.0) < 1e-6
 
-    A tile holds max(packed, sqrt(n)) segments, so neither the tile list nor a tile grows
-    faster than the square root of the pool.
-    """
-    rows = max(packed, math.isqrt(n))
-    p = V.lanes("_pose", 3)
-    box = pool.agg(F.array(*[F.min(x) for x in p]).alias("low"), F.array(*[F.max(x) for x in p]).alias("high"))
-    low, high = box.first()
-    cells = 1 << 10
-    cell = [
-        F.floor((x - F.lit(a)) / F.lit(max(b - a, 1e-12)) * (cells - 1)).cast("long")
-        for x, a, b in zip(p, low, high, strict=True)
-    ]
-    code = F.lit(0).cast("long")
-    for bit in range(10):
-        for axis in range(3):
-            code = code + F.shiftleft(F.shiftright(cell[axis], bit).bitwiseAND(F.lit(1)), 3 * bit + axis)
-    coded = pool.withColumn("_code", code)
-    ranked = position(coded, [on], ["_code", "_id"], F.shiftright(F.col("_code"), 15), "_place")
-    return (
-        ranked.groupBy(on, F.floor(F.col("_place") / rows).cast("long").alias("_tile"))
-        .agg(
-            F.collect_list(F.struct("_pose", "_id")).alias("_members"),
-            F.array(*[F.min(x) for x in p]).alias("_low"),
-            F.array(*[F.max(x) for x in p]).alias("_high"),
-        )
-    )
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _from_tiles(asked: DataFrame, tiles: DataFrame, on: str, k: int, weights: tuple[float, float]) -> DataFrame:
-    at = V.lanes("_at", 3)
-
-    def box_distance(tile: Column) -> Column:
-        gaps = [
-            F.greatest(F.lit(0.0), F.get(tile["_low"], F.lit(i)) - x, x - F.get(tile["_high"], F.lit(i)))
-            for i, x in enumerate(at)
-        ]
-        return F.lit(weights[0]) * V.norm(gaps)
-
-    index = tiles.select(on, "_tile", "_low", "_high", F.size("_members").alias("_size"))
-    listed = index.groupBy(on).agg(F.collect_list(F.struct("_tile", "_low", "_high", "_size")).alias("_index"))
-    placed = lookup_join(asked, settled(listed, "tile-index"), [on], "inner", spread=["_scene"])
-    bounds = F.transform("_index", lambda t: F.struct(box_distance(t).alias("d"), t["_tile"].alias("_tile")))
-    placed = settled(placed.withColumn("_near", bounds).drop("_index"), "placed-scenes")
-    first = placed.withColumn("_tile", F.array_min("_near")["_tile"])
-    members = tiles.select(on, "_tile", "_members")
-    reached = _rank(_with_members(first, members, on), k, weights, ("_near",)).groupBy("_scene", on).agg(
-        F.max(F.when(F.col("rank") == k, F.col("_found.distance"))).alias("_reach"),
+
+def _cone(quats: Column, turns: Column) -> Column:
+    """Mean quaternion of some, and the largest angle to them and what lies around each; half a turn if one is no unit."""
+
+    def lane(i: int, first: Column) -> Column:
+        return F.aggregate(quats, F.lit(0.0), lambda acc, q: acc + F.when(_dot(q, first) < 0, -F.get(q, F.lit(i))).otherwise(F.get(q, F.lit(i))))
+
+    def around(mean: Column) -> Column:
+        wide = F.array_max(F.zip_with(quats, turns, lambda q, t: F.when(_is_unit(q), _turn(q, mean) + t).otherwise(F.lit(math.pi))))
+        return F.struct(mean.alias("_axis"), F.when(F.coalesce(_is_unit(mean), F.lit(False)), wide).otherwise(F.lit(math.pi)).alias("_wide"))
+
+    def middle(first: Column) -> Column:
+        def scaled(total: Column) -> Column:
+            return _let(F.sqrt(_dot(total, total)), lambda n: F.when(n > 1e-9, F.transform(total, lambda v: v / n)).otherwise(first))
+
+        return _let(F.array(*[lane(i, first) for i in range(4)]), scaled)
+
+    return _let(_let(F.get(quats, F.lit(0)), middle), around)
+
+
+def _tree(pool: DataFrame, on: str, tile: int, weights: tuple[float, float]) -> list[DataFrame]:
+    """Tiles with their members, then for each level above the children of its nodes; the last level has node 0 alone."""
+    pos = V.lanes("_pose", 3)
+    quat = F.slice("_pose", 4, 4)
+    side = F.when(F.get(quat, F.lit(0)) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    turns = [side * F.get(quat, F.lit(i)) for i in range(1, 4)]
+    # Places on a curve through six dimensions, in units of the distance.
+    places = [F.lit(weights[0]) * x for x in pos] + [F.lit(2.0 * weights[1]) * x for x in turns]
+    facts = pool.agg(F.count("*").alias("n"), *[F.min(x).alias(f"a{i}") for i, x in enumerate(places)], *[F.max(x).alias(f"b{i}") for i, x in enumerate(places)]).first()
+    widest = max([facts[f"b{i}"] - facts[f"a{i}"] for i in range(6)] + [1e-12])
+    cell = [F.floor((x - F.lit(facts[f"a{i}"])) / F.lit(widest) * 1023).cast("long") for i, x in enumerate(places)]
+    code = F.lit(0).cast("long")
+    for bit in range(10):
+        for axis in range(6):
+            code = code + F.shiftleft(F.shiftright(cell[axis], bit).bitwiseAND(F.lit(1)), 6 * bit + axis)
+    coded = settled(pool.withColumn("_code", code), "segments")
+    ranked = position(coded, [on], ["_code", "_id"], rank_buckets(coded, F.col("_code")), "_place")
+    low, high = ([f(x) for x in V.lanes(c, 3)] for f, c in ((F.min, "_low"), (F.max, "_high")))
+    node = F.floor(F.col("_place") / tile).cast("long").alias("_node")
+    tiles = ranked.groupBy(on, node).agg(
+        F.collect_list(F.struct("_pose", "_id")).alias("_members"), F.array(*[F.min(x) for x in pos]).alias("_low"), F.array(*[F.max(x) for x in pos]).alias("_high")
     )
-    visits = (
-        placed.join(reached, ["_scene", on], "left")
-        .withColumn(
-            "_visit",
-            F.explode(F.filter("_near", lambda t: F.col("_reach").isNull() | (t["d"] <= F.col("_reach")))),
+    quats = F.transform("_members", lambda m: F.slice(m["_pose"], 4, 4))
+    tiles = tiles.withColumn("_cone", _cone(quats, F.transform("_members", lambda m: F.lit(0.0))))
+    levels = [settled(tiles.select(on, "_node", "_members", "_low", "_high", "_cone.*"), "tiles")]
+    below, nodes = levels[0].drop("_members"), -(-facts["n"] // tile)
+    while True:
+        above = below.groupBy(on, F.floor(F.col("_node") / FAN).cast("long").alias("_node")).agg(
+            F.collect_list(F.struct("_node", "_low", "_high", "_axis", "_wide")).alias("_children"), F.array(*low).alias("_low"), F.array(*high).alias("_high")
         )
-        .select("_scene", on, "_at", F.col("_visit._tile").alias("_tile"))
-    )
-    ranked = _rank(_with_members(visits, members, on), k, weights)
+        above = above.withColumn("_cone", _cone(F.col("_children._axis"), F.col("_children._wide")))
+        levels.append(settled(above.select(on, "_node", "_children", "_low", "_high", "_cone.*"), "tile-nodes"))
+        below, nodes = levels[-1].drop("_children"), -(-nodes // FAN)
+        if nodes <= 1:
+            return levels
+
+
+def _from_tree(asked: DataFrame, levels: list[DataFrame], on: str, k: int, weights: tuple[float, float], stats: list | None) -> DataFrame:
+    at, quat = V.lanes("_at", 3), F.slice("_at", 4, 4)
+
+    def least(child: Column) -> Column:
+        """No pose below the child is nearer; some slack for rounding."""
+        gaps = [F.greatest(F.lit(0.0), F.get(child["_low"], F.lit(i)) - x, x - F.get(child["_high"], F.lit(i))) for i, x in enumerate(at)]
+        turn = F.when(F.col("_unit"), F.greatest(F.lit(0.0), _turn(quat, child["_axis"]) - child["_wide"] - F.lit(1e-6))).otherwise(F.lit(0.0))
+        return (F.lit(weights[0]) * V.norm(gaps) + F.lit(weights[1]) * turn) * F.lit(1 - 1e-9)
+
+    def middle(child: Column) -> Column:
+        """Distance to the middle of the box and of the cone: where to look first."""
+        gaps = [(F.get(child["_low"], F.lit(i)) + F.get(child["_high"], F.lit(i))) / 2 - x for i, x in enumerate(at)]
+        return F.lit(weights[0]) * V.norm(gaps) + F.lit(weights[1]) * F.when(F.col("_unit"), _turn(quat, child["_axis"])).otherwise(F.lit(0.0))
+
+    def down(rows: DataFrame, level: DataFrame) -> DataFrame:
+        lists = level.select(on, "_node", "_children")
+        joined = lookup_join(rows, lists, [on, "_node"], "inner", spread=["_scene"], rows=SMALL_LEVEL)
+        bounds = F.transform("_children", lambda c: F.struct(middle(c).alias("m"), c["_node"].alias("_node"), least(c).alias("d")))
+        return joined.withColumn("_near", bounds).drop("_children", "_node")
+
+    members = levels[0].select(on, F.col("_node").alias("_tile"), "_members")
+    asked = asked.withColumn("_unit", F.coalesce(_is_unit(quat), F.lit(False)))
+    nearest = asked.withColumn("_node", F.lit(0).cast("long"))
+    for level in reversed(levels[1:]):
+        nearest = settled(down(nearest, level).withColumn("_node", F.array_min("_near")["_node"]).drop("_near"), "nearest-nodes")
+    first = _rank(_with_members(nearest.withColumnRenamed("_node", "_tile"), members, on), k, weights)
+    reached = first.groupBy("_scene", on).agg(F.max(F.when(F.col("rank") == k, F.col("_found.distance"))).alias("_reach"))
+    visits = asked.join(reached, ["_scene", on], "left").withColumn("_node", F.lit(0).cast("long"))
+    for level in reversed(levels[1:]):
+        inside = F.filter("_near", lambda t: F.col("_reach").isNull() | (t["d"] <= F.col("_reach")))
+        visits = settled(down(visits, level).withColumn("_hit", F.explode(inside)).withColumn("_node", F.col("_hit._node")).drop("_near", "_hit"), "visited-nodes")
+    if stats is not None:
+        stats.append(visits.count())
+    ranked = _rank(_with_members(visits.select("_scene", on, "_at", F.col("_node").alias("_tile")), members, on), k, weights)
     window = Window.partitionBy("_scene", on).orderBy("_found")
     return ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armature.functions import vectors as V
-from armature.plans.blocks import Fold, block_width, running
+from armature.plans.blocks import Fold, rank_buckets, running
 from armature.plans.lookups import lookup_join, settled
 from armature.schema import (
     ARM_DIM,
@@ -375,12 +375,12 @@ def asof_tracking(
     """Each actual row with the newest command at or before it.
 
     `pos` is an integer time; at equal times the command comes first. One ordered union
-    with a running last value, carried over blocks of `size` time units; if not given, the
-    width is taken from the number of rows and their time span.
+    with a running last value, carried over blocks of `size` time units; if not given, blocks
+    are cut at quantiles of the time, so that each holds about as many rows.
     """
+    cut = rank_buckets(actuals, F.col(pos)) if size is None else None
     if size is None:
-        size = block_width(actuals, pos)
-        size, longest = (1, 1) if size is None else (size, longest)
+        size, longest = 1, None if cut is not None else 1
     rest = [c for c in actuals.columns if c not in (*keys, pos, col)]
     empty = [F.lit(None).cast(actuals.schema[c].dataType).alias(c) for c in rest]
     both = (
@@ -392,7 +392,7 @@ def asof_tracking(
         )
         .withColumn("_order", F.col(pos) * 2 + F.col("_side"))
     )
-    filled = running(both, keys, "_order", {"commanded": Fold("last", F.col("_command"))}, 2 * size, longest)
+    filled = running(both, keys, "_order", {"commanded": Fold("last", F.col("_command"))}, 2 * size if cut is None else cut, longest)
     return filled.filter(F.col("_side") == 1).drop("_command", "_side", "_order")
 
 
@@ -414,7 +414,7 @@ def training_alerts(
     """
     loss, step = F.col("loss"), F.col("step")
     usable = F.when(~F.isnan(loss), loss)
-    best = running(metrics, by, "step", {"_best": Fold("min", usable, False)}, size, longest)
+    best = running(metrics, by, "step", {"_best": Fold("min", usable, False)}, size, longest, keep=True)
     improved = usable.isNotNull() & (F.col("_best").isNull() | (usable < F.col("_best")))
     seen = running(
         best,

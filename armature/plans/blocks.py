@@ -113,14 +113,23 @@ def running(
     keys: Sequence[str],
     pos: str,
     folds: dict[str, Fold],
-    size: int = BLOCK,
+    size: int | Column = BLOCK,
     longest: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
-    """Running values in position order, null before the first contributing row."""
-    if fits(longest, size):
+    """Running values in position order, null before the first contributing row.
+
+    Blocks are `size` positions wide, or given by a column that does not decrease along the positions.
+    With `keep` the column `_block` stays, if there is one, for the next call, which then needs no other shuffle.
+    """
+    given = isinstance(size, Column)
+    if not given and fits(longest, size):
         window = Window.partitionBy(*keys).orderBy(pos)
         return df.withColumns({name: fold.inside(window) for name, fold in folds.items()})
-    blocked = df.withColumn("_block", block_of(pos, size))
+    if "_block" in df.columns:
+        blocked = df
+    else:
+        blocked = df.withColumn("_block", F.coalesce(size, F.lit(-(2**62))) if given else block_of(pos, size))
     totals = blocked.groupBy(*keys, "_block").agg(*[f.total(pos).alias(f"_total_{n}") for n, f in folds.items()])
     ahead = Window.partitionBy(*keys).orderBy("_block")
     carry = totals.select(
@@ -131,25 +140,45 @@ def running(
     joined = inside.join(carry, [*keys, "_block"], "inner")  # in the order the window left
     out = joined.withColumns({n: f.combine(F.col(f"_in_{n}"), F.col(f"_carry_{n}")) for n, f in folds.items()})
     scratch = [c for n in folds for c in (f"_in_{n}", f"_carry_{n}")]
-    return out.drop("_block", *scratch)
+    return out.drop(*scratch, *([] if keep else ["_block"]))
 
 
-def block_width(df: DataFrame, pos: str, rows: int = RANK_ROWS) -> int | None:
-    """Width of position blocks that hold about `rows` rows of the whole table each; None if one does."""
-    total, low, high = df.agg(F.count(F.lit(1)), F.min(pos), F.max(pos)).first()
-    if total <= rows:
-        return None
-    return max(1, (int(high) - int(low)) * rows // total)
+#: Slices of a table at most, and splitters that are compared at once.
+MOST_SLICES, AT_ONCE = 4096, 64
+
+
+def slices_of(at: Column, splitters: Sequence[int]) -> Column:
+    """Number of the slice: how many of the ascending splitters are not above the value. Null stays null.
+
+    Splitters are compared in two steps, so a row meets some 2 * AT_ONCE of them at most.
+    """
+    rows = [list(splitters[i : i + AT_ONCE]) for i in range(0, len(splitters), AT_ONCE)]
+    if not rows:
+        return F.when(at.isNotNull(), F.lit(0).cast("long"))
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda s: s <= at)).cast("long")
+
+    def numbers(values: list[int]) -> Column:
+        return F.array(*[F.lit(int(v)).cast("long") for v in values])
+
+    row = below(numbers([r[0] for r in rows]))
+    inside = below(F.get(F.array(*[numbers(r) for r in rows]), F.greatest(row - 1, F.lit(0)).cast("int")))
+    return F.when(at.isNotNull(), F.greatest(row - 1, F.lit(0)) * AT_ONCE + inside)
 
 
 def rank_buckets(df: DataFrame, at: Column, rows: int = RANK_ROWS) -> Column | None:
-    """Equal slices of an ordering value holding about `rows` rows each; None if one is enough."""
-    facts = df.select(at.alias("at")).agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
-    total, low, high = facts
+    """Slices of a whole ordering value holding about `rows` rows each (1 / MOST_SLICES of a larger table); None if one is enough.
+
+    Splitters are quantiles of a mergeable sketch, so outliers and bursts don't fill a slice. Rows with equal values stay together.
+    """
+    total = df.count()
     if total <= rows:
         return None
-    width = max(1, (int(high) - int(low)) * rows // total)
-    return F.floor((at - F.lit(int(low))) / F.lit(width)).cast("long")
+    slices = min(MOST_SLICES, -(-total // rows))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = df.select(at.cast("long").alias("at")).agg(F.percentile_approx("at", shares, 20 * slices).alias("q")).first()["q"]
+    return slices_of(at.cast("long"), sorted(set(cuts or [])))
 
 
 def position(

@@ -220,7 +220,7 @@ def label_episodes(
     blocks instead of walking a robot's whole history in one task.
     """
     control = F.when(F.col(key).isin(CONTROLS), F.col(key))
-    before = running(events, robot, pos, {"_last": Fold("last", control, False)}, size, longest)
+    before = running(events, robot, pos, {"_last": Fold("last", control, False)}, size, longest, keep=True)
     was_on = F.coalesce(F.col("_last") == START, F.lit(False))
     starts = F.coalesce((F.col(key) == START) & ~was_on, F.lit(False))
     marked = before.withColumns({"_on_before": was_on, "_starts": starts.cast("long")})

@@ -31,6 +31,33 @@ def brute(scenes, segs, k, w):
     return out
 
 
+def test_visited_tiles_grow_slower_than_the_pool(spark):
+    """Scenes within two centimetres: the rotation bounds what position can't tell apart."""
+    rng = np.random.default_rng(8)
+
+    def poses(n):
+        q = rng.normal(size=(n, 4))
+        return np.concatenate([rng.uniform(-0.02, 0.02, (n, 3)), q / np.linalg.norm(q, axis=1)[:, None]], axis=1)
+
+    asked = spark.createDataFrame([(i, "cube", p.tolist()) for i, p in enumerate(poses(20))], "scene long, object_ref string, object_pose array<double>")
+    visited = []
+    for n in (2000, 16000):
+        p = poses(n)
+        segs = spark.createDataFrame([(i, "cube", x.tolist()) for i, x in enumerate(p)], "segment long, object_ref string, object_pose array<double>")
+        stats = []
+        got = N.nearest_segments(asked, segs, 3, packed=8, tile=20, stats=stats)
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.scene, []).append((r["rank"], r.segment))
+        for r in asked.collect():
+            at = np.array(r.object_pose)
+            d = np.linalg.norm(p[:, :3] - at[:3], axis=1) + 2 * np.arccos(np.minimum(1, np.abs(p[:, 3:] @ at[3:])))
+            assert [s for _, s in sorted(found[r.scene])] == np.argsort(d, kind="stable")[:3].tolist()
+        visited.append(stats[0])
+    # Eight times the segments; all tiles would be 100 and 800 a scene.
+    assert visited[1] < 4 * visited[0] and visited[1] < 20 * 800 * 0.25, visited
+
+
 @pytest.mark.parametrize("weights", [(1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (5.0, 0.1)])
 @pytest.mark.parametrize("packed", [4, 4096])
 def test_nearest_segments_match_brute_force(spark, weights, packed):

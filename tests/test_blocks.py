@@ -66,6 +66,27 @@ def test_rank_buckets_are_needed_only_above_the_limit(frames):
     assert len(counts) > 4
 
 
+def test_slices_hold_alike_with_outliers(spark):
+    """A burst and outliers in time leave no slice above twice the mean; the order is kept."""
+    at = F.when(F.col("id") == 0, F.lit(-(10**15))).when(F.col("id") == 1, F.lit(10**16)).when(F.col("id") % 2 == 0, F.col("id")).otherwise(10**9 + F.col("id") * 10**6)
+    df = spark.range(20_000).select(at.cast("long").alias("at"))
+    for rows in (5000, 150):
+        bucket = B.rank_buckets(df, F.col("at"), rows=rows)
+        got = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("z")).orderBy("b").collect()
+        assert len(got) == -(-20_000 // rows) and max(r.n for r in got) < 2 * 20_000 / len(got)
+        assert all(x.z < y.a for x, y in zip(got, got[1:], strict=False))
+    assert df.select(B.slices_of(F.lit(None).cast("long"), [1, 2])).first()[0] is None
+    assert [r[0] for r in spark.range(6).select(B.slices_of(F.col("id"), [1, 1, 4])).collect()] == [0, 2, 2, 2, 3, 3]
+
+
+def test_folds_in_a_row_share_a_shuffle(frames):
+    first = B.running(frames, KEYS, "frame_index", {"top": B.Fold("max", F.col("value"))}, size=8, keep=True)
+    both = B.running(first, KEYS, "frame_index", {"sum": B.Fold("sum", F.col("value"))}, size=8)
+    plain = B.running(frames, KEYS, "frame_index", {"top": B.Fold("max", F.col("value")), "sum": B.Fold("sum", F.col("value"))}, longest=10**6)
+    cols = [*KEYS, "frame_index", "top", "sum"]
+    assert rows_of(both, *cols) == rows_of(plain, *cols) and "_block" not in both.columns
+
+
 def test_attach_repeats_facts_per_block(frames):
     facts = frames.groupBy(*KEYS).agg(F.max("frame_index").alias("last"))
     got = B.attach(frames, facts, KEYS, "frame_index", F.col("last"), size=8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armature.catalog import base as Q
@@ -13,6 +14,8 @@ from armature.operators import frames as P
 from armature.operators import merge as M
 from armature.operators import predicates as O
 from armature.operators import quality as A
+from armature.plans.blocks import RANK_ROWS, position, rank_buckets
+from armature.plans.lookups import settled
 from armature.schema import JOINTS, KEYS, POS
 
 FRAME = [*KEYS, POS]
@@ -546,6 +549,53 @@ def merge_datasets(fx):
     return merged.select(*FRAME, "task_index", "event_id")
 
 
+MANY = 20
+_MANY = f"""{Q.FRAMES},
+md AS (SELECT *, episode_index % {MANY} AS d, episode_index // {MANY} AS e FROM fx),
+mo AS (SELECT d, sum(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS added FROM (SELECT d, max(e) + 1 AS n FROM md GROUP BY d)),
+mg AS (SELECT CAST(e + coalesce(added, 0) AS BIGINT) AS episode_index, frame_index, row_number() OVER (ORDER BY d, e, frame_index) - 1 AS "index", d, task_index, event_id
+  FROM md JOIN mo USING (d))"""
+
+
+def _many(fx) -> list[DataFrame]:
+    """Twenty datasets, episodes from 0 and `index` in each, task numbers that differ between them."""
+    user = F.col("episode_index")
+    moved = fx.frames().drop("ts", "timestamp", "action").withColumns({"_d": (user % MANY).cast("int"), "episode_index": F.floor(user / MANY).cast("long")})
+    bucket = rank_buckets(moved, F.col("episode_index")) if fx.rows > RANK_ROWS else None
+    moved = position(moved, ["_d"], ["episode_index", POS], bucket, "index").withColumn("task_index", (F.col("task_index") + F.col("_d")) % 3)
+    moved = settled(moved, "twenty-datasets")
+    return [moved.filter(F.col("_d") == d).drop("_d") for d in range(MANY)]
+
+
+def _many_tasks(fx) -> DataFrame:
+    """Text k of dataset d is number (k + d) % 3."""
+    rows = [literal_rows(fx.spark, ("task_index", "task"), tuple(((k + d) % 3, t) for k, (_, t) in enumerate(TASKS_A))).withColumn("task_index", F.col("task_index").cast("long")) for d in range(MANY)]
+    return M.merged_tasks(rows, rows=3 * MANY)
+
+
+@query("merge_many", f"""WITH {_MANY} SELECT 'merged' AS dataset, episode_index, frame_index, "index", task_index, event_id FROM mg""")
+def merge_many(fx):
+    """Twenty datasets: numbers of episodes and rows go on, tasks are joined by text."""
+    return M.merge_frames(_many(fx), _many_tasks(fx)).select(*FRAME, "index", "task_index", "event_id")
+
+
+@query("merge_many_episodes", f"""WITH {_MANY} SELECT 'merged' AS dataset, episode_index, count(*) AS length FROM mg GROUP BY episode_index""")
+def merge_many_episodes(fx):
+    """Their episode tables, numbered as the frames are."""
+    parts = _many(fx)
+    return M.merge_episodes([A.episode_summary(p).drop("tasks") for p in parts], parts)
+
+
+@query(
+    "merge_many_info",
+    f"""WITH {_MANY} SELECT 'merged' AS dataset, count(DISTINCT episode_index) AS total_episodes, count(*) AS total_frames, count(DISTINCT task_index) AS total_tasks,
+    2 * count(DISTINCT episode_index) AS total_videos, count(DISTINCT episode_index // 10) AS total_chunks FROM mg""",
+)
+def merge_many_info(fx):
+    """Totals of the merged dataset."""
+    return A.dataset_info(M.merge_frames(_many(fx), _many_tasks(fx)), video_features=2, chunks_size=10)
+
+
 @query(
     "dataset_mixture_info",
     f"""WITH {Q.TWO_DATASETS}, n AS (SELECT dataset, episode_index, count(*) AS length FROM ab GROUP BY ALL)

@@ -368,20 +368,28 @@ def first_grasps(telemetry: DataFrame, signal: Column, key: str, order_id: str)
 def pair_by_time(leader: DataFrame, follower: DataFrame, tolerance: str = "20 milliseconds") -> DataFrame:
     """Leader and follower rows of the same robot and joint at most `tolerance` apart.
 
-    Both sides carry a watermark, so a stream-stream join can drop old rows.
+    The join key holds a time bucket as wide as the tolerance: a leader row is in its own, a follower row in its
+    own and both next to it, so each pair meets once, and the rows of one robot and joint spread over all
+    tasks. Both sides carry a watermark, so a stream-stream join can drop old rows.
     """
-    a = leader.select("robot", "joint", F.col("ts").alias("leader_ts"), F.col("value").alias("leader_value"))
+    width = F.greatest(F.lit(1), F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {tolerance})"))
+
+    def bucket(ts: str) -> Column:
+        return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width).cast("long")
+
+    a = leader.select("robot", "joint", F.col("ts").alias("leader_ts"), F.col("value").alias("leader_value"), bucket("ts").alias("_bucket"))
     b = follower.select(
         F.col("robot").alias("_robot"),
         F.col("joint").alias("_joint"),
         F.col("ts").alias("follower_ts"),
         F.col("value").alias("follower_value"),
+        F.explode(F.sequence(bucket("ts") - 1, bucket("ts") + 1)).alias("_near"),
     )
     near = F.expr(
-        f"robot = _robot AND joint = _joint AND follower_ts >= leader_ts - INTERVAL {tolerance}"
+        f"robot = _robot AND joint = _joint AND _bucket = _near AND follower_ts >= leader_ts - INTERVAL {tolerance}"
         f" AND follower_ts <= leader_ts + INTERVAL {tolerance}"
     )
-    return a.join(b, near).drop("_robot", "_joint")
+    return a.join(b, near).drop("_robot", "_joint", "_bucket", "_near")
 
 
 def rename_joints(df: DataFrame, source: str = "physical", target: str = "simulated", col: str = "joint") -> DataFrame:

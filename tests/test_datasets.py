@@ -283,3 +283,15 @@ def test_missing_files_accept_either_task_file(spark):
     files = spark.createDataFrame([("a", "meta/info.json"), ("a", "meta/tasks.parquet"), ("b", "meta/stats.json")], "dataset string, path string")
     got = {tuple(r) for r in A.missing_files(files, files.select("dataset").distinct()).collect()}
     assert got == {("a", "meta/stats.json"), ("b", "meta/info.json"), ("b", "meta/tasks.json or meta/tasks.parquet")}
+
+
+def test_merge_plan_grows_with_the_datasets_not_their_square(spark):
+    part = spark.range(3).select(F.col("id").alias("episode_index"), F.col("id").alias("frame_index"), F.col("id").alias("index"), F.lit(0).cast("long").alias("task_index"))
+    tasks = spark.createDataFrame([(0, "pick")], "task_index long, task string")
+    sizes = []
+    for n in (10, 40):
+        merged = M.merge_frames([part] * n, M.merged_tasks([tasks] * n, rows=n))
+        assert sorted(r["index"] for r in merged.select("index").collect()) == list(range(3 * n))
+        assert sorted(r.episode_index for r in M.merge_episodes([part] * n, [part] * n).collect()) == list(range(3 * n))
+        sizes.append(len(merged._jdf.queryExecution().optimizedPlan().toString()))
+    assert sizes[1] < 5 * sizes[0]

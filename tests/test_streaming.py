@@ -181,3 +181,17 @@ def test_median_is_exact(spark):
 def test_joint_renaming(spark):
     df = spark.createDataFrame([("joint_1",), ("joint_6",), ("other",)], "joint string")
     assert [r.joint for r in S.rename_joints(df).collect()] == ["Rotation", "Jaw", None]
+
+
+@pytest.mark.parametrize("tolerance, us", [("20 milliseconds", 20_000), ("1 second", 1_000_000)])
+def test_pairs_of_one_robot_and_joint_spread_over_keys(spark, tolerance, us):
+    rng = np.random.default_rng(2)
+    at = [sorted(int(v) for v in rng.integers(-2_000_000, 3_000_000, 150)) + [0, 20_000, 1_000_000] for _ in "ab"]
+    sides = [
+        spark.createDataFrame([("r", "j", v, float(v)) for v in side], "robot string, joint string, us long, value double").withColumn("ts", F.timestamp_micros("us")).drop("us")
+        for side in at
+    ]
+    got = sorted((int(r.leader_value), int(r.follower_value)) for r in S.pair_by_time(*sides, tolerance).collect())
+    assert got == sorted((a, b) for a in at[0] for b in at[1] if abs(a - b) <= us)
+    plan = S.pair_by_time(*sides, tolerance)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "_near" in plan

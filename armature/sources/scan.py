@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,9 +12,23 @@ from armature.operators.metadata import parse_video_paths
 from armature.schema import FRAMES
 
 
-def scan_frames(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """Frames of a dataset in canonical form: vectors as doubles, `state` without dots."""
+def in_chunks(episodes: Sequence[int], chunks_size: int) -> Column:
+    """Whether a file lies in the chunk folder of one of some episodes; Spark drops other files before it reads any."""
+    names = sorted({f"chunk-{e // chunks_size:03d}" for e in episodes})
+    return F.col("_metadata.file_path").rlike(f"[/=]({'|'.join(names)})/" if names else "(?!)")
+
+
+def scan_frames(spark: SparkSession, root: str, dataset: str, episodes: Sequence[int] | None = None, chunks_size: int | None = None) -> DataFrame:
+    """Frames of a dataset in canonical form: vectors as doubles, `state` without dots.
+
+    Of some `episodes` only row groups that may hold them are read, and with `chunks_size`, where
+    chunk folders are numbered by episode, only files of their folders.
+    """
     raw = spark.read.schema(FRAMES).option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    if episodes is not None:
+        if chunks_size is not None:
+            raw = raw.filter(in_chunks(episodes, chunks_size))
+        raw = raw.filter(F.col("episode_index").isin(list(episodes)))
     return raw.select(
         F.lit(dataset).alias("dataset"),
         "episode_index",

@@ -15,6 +15,7 @@ from armature.operators import metadata as D
 from armature.operators import quality as A
 from armature.schema import CAMERA_FIRST_PATH, CHUNK_FIRST_PATH
 from armature.sources import scan, sink
+from armature.sources.files import write_files
 
 V3_INFO = {
     "codebase_version": "v3.0",
@@ -295,3 +296,33 @@ def test_merge_plan_grows_with_the_datasets_not_their_square(spark):
         assert sorted(r.episode_index for r in M.merge_episodes([part] * n, [part] * n).collect()) == list(range(3 * n))
         sizes.append(len(merged._jdf.queryExecution().optimizedPlan().toString()))
     assert sizes[1] < 5 * sizes[0]
+
+
+def files_read(df):
+    """Files that the scan below a DataFrame has left after pruning."""
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    return plan.selectedPartitions().totalNumberOfFiles()
+
+
+def test_an_episode_filter_reads_one_chunk(spark, tmp_path):
+    rows = [(e * 3 + f, f, e, f / 30, 0, [float(e)] * 6, [0.0] * 6) for e in range(12) for f in range(3)]
+    df = spark.createDataFrame(rows, "index long, frame_index long, episode_index long, timestamp double, task_index long, action array<double>, state array<double>")
+    root = str(tmp_path / "set")
+    sink.write_chunked(df, root, chunks_size=4)
+    everything = scan.scan_frames(spark, root, "a")
+    few = scan.scan_frames(spark, root, "a", [5, 6], chunks_size=4)
+    assert sorted((r.episode_index, r.frame_index) for r in few.collect()) == [(e, f) for e in (5, 6) for f in range(3)]
+    in_chunk = {p for p in everything.inputFiles() if "chunk-001" in p}
+    assert 0 < files_read(few) <= len(in_chunk) < files_read(everything)
+    assert "PushedFilters: [In(episode_index, [5,6])" in few._jdf.queryExecution().toString()
+    assert scan.scan_frames(spark, root, "a", [], chunks_size=4).count() == 0
+    assert scan.scan_frames(spark, root, "a", [5]).count() == 3
+
+
+def test_named_files_hold_their_content(spark, tmp_path):
+    df = spark.createDataFrame([("a/x y.json", b"{}"), ("b/é.bin", b"\x00\x01"), ("b/é.bin", b"\x00\x01")], "path string, content binary")
+    assert write_files(df, str(tmp_path)) == 3
+    assert (tmp_path / "a/x y.json").read_bytes() == b"{}" and sorted(p.name for p in (tmp_path / "b").iterdir()) == ["é.bin"]
+    assert write_files(df.limit(0), str(tmp_path)) == 0

@@ -357,11 +357,17 @@ def one_source_per_scene(fx):
     return chosen.withColumnRenamed("segment", "demo")
 
 
-@query("random_sources")
+@query(
+    "random_sources",
+    f"""WITH {POSES}, g AS (SELECT label, vec_id AS segment, count(*) OVER (PARTITION BY label) AS n,
+      row_number() OVER (PARTITION BY label ORDER BY CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 12)) AS BIGINT), vec_id) - 1 AS number FROM po),
+    d AS (SELECT scene, object_ref, label, {sql_draw(42, "choice", "scene", "object_ref")} AS u FROM (SELECT vec_id AS scene, label, CAST(label AS VARCHAR) AS object_ref FROM po))
+    SELECT scene, object_ref, segment FROM d JOIN g ON g.label = d.label AND g.number = CAST(floor(u * n) AS BIGINT)""",
+)
 def random_sources(fx):
     """One uniformly drawn source per scene and object."""
     scenes, segs = _pools(fx)
-    return N.choose_segments(scenes, segs, strategy="random")
+    return N.choose_segments(scenes, segs, strategy="random", draw=md5_draw(42, "scene", "object_ref"))
 
 
 ATTEMPTS = """

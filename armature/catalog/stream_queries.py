@@ -252,10 +252,14 @@ def stream_pairs(fx):
     "SELECT event_id, CAST(user_id % 8 AS VARCHAR) AS robot, value FROM events",
 )
 def stream_resume(fx):
-    """The same stream run twice on one checkpoint: every row is written once."""
-    live = _events(fx).select("event_id", _robot(), "value")
-    path, state = new_dir(fx.spark, "stream-resume"), new_dir(fx.spark, "stream-resume-state")
-    for _ in range(2):
+    """A stream stopped and started again on its checkpoint after files arrived: every row is written once."""
+    events = fx.table("events")
+    source, path, state = (new_dir(fx.spark, f"stream-resume-{x}") for x in ("source", "out", "state"))
+    for turn in range(3):
+        # The third run finds nothing new.
+        if turn < 2:
+            events.filter(F.col("event_id") % 2 == turn).write.mode("append").parquet(source)
+        live = S.read_telemetry(fx.spark, source, events.schema).select("event_id", _robot(), "value")
         S.write_stream(live, path, state).awaitTermination()
     return fx.spark.read.schema(live.schema).parquet(path)
 

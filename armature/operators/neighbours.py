@@ -96,8 +96,9 @@ def choose_segments(
         counted = near.withColumn("_k", F.count(F.lit(1)).over(window))
         pick = F.floor(draw("choice") * F.col("_k")) + 1
         return counted.filter(F.col("rank") == pick).select(scene_id, on, segment_id)
-    code = F.xxhash64(segment_id)
-    numbered = position(segs.select(on, segment_id), [on], [code, segment_id], F.shiftright(code, 54), "_number")
+    # 48 bits that any engine can repeat, in 1,024 slices.
+    code = F.conv(F.substring(F.md5(F.col(segment_id).cast("string")), 1, 12), 16, 10).cast("long")
+    numbered = position(segs.select(on, segment_id), [on], [code, segment_id], F.shiftright(code, 38), "_number")
     numbered = settled(numbered, "numbered-segments")
     sizes = settled(numbered.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), "segment-counts")
     asked = lookup_join(scenes.select(scene_id, on), sizes, [on], "inner")

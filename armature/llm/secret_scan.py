@@ -155,9 +155,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Ratios
 
 
 def ratio(token: Column, table: Column) -> Column:
-    """Log-likelihood ratio of a string of ASCII characters."""
-    code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * 128 + code(i + 1)))
+    """Log-likelihood ratio of a string of ASCII characters; its codes are taken once, so the work grows with its length."""
+    codes = F.transform(F.split(token, ""), F.ascii)
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, code: Column) -> Column:
+        more = F.when(acc["before"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["before"] * 128 + code))
+        return F.struct(code.alias("before"), (acc["sum"] + more).alias("sum"))
+
+    return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
 # ---- scan ----

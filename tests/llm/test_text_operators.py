@@ -263,3 +263,17 @@ def test_secret_digest(spark):
         text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
+def test_secret_scan_of_very_long_runs_and_many_tokens(spark):
+    """A run of a million characters, and ten thousand tokens in one text, are judged whole."""
+    import random
+    import string
+
+    random.seed(1)
+    token = lambda n: "".join(random.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = ["x " + token(1_000_000) + " y", " ".join(token(24) for _ in range(10_000)), "get_user_" * 20_000]
+    ratios = secret_scan.fit(secret_scan.random_strings(spark).unionByName(secret_scan.ordinary_strings(spark)))
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).orderBy("doc_id").collect()
+    assert [(s.start, s.end) for s in got[0].found] == [(2, 1_000_002)]
+    assert len(got[1].found) > 9_900 and got[2].found == []

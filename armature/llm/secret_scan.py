@@ -141,7 +141,11 @@ def ordinary_strings(spark: SparkSession, n: int = 4 * RANDOM_SAMPLES) -> DataFr
 
 def ordinary_words(docs: DataFrame, doc_id: str, text: str, docs_read: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """Words of letters alone in a bounded sample of documents, as ordinary, in their own and in upper case, alone and in threes."""
-    drawn = docs.filter(F.col(text).isNotNull()).select(F.md5(F.col(doc_id).cast("string")).alias("k"), F.substring(F.col(text), 1, chars).alias("t")).orderBy("k", "t").limit(docs_read)
+    # The least hashes are sampled; a task sends no more rows than a few times the sample in all.
+    share = 4 * docs_read / max(1, docs.count())
+    key = F.md5(F.col(doc_id).cast("string"))
+    likely = docs if share >= 1 else docs.filter(key.isNull() | (key <= f"{int(share * 2**32):08x}"))
+    drawn = likely.filter(F.col(text).isNotNull()).select(F.md5(F.col(doc_id).cast("string")).alias("k"), F.substring(F.col(text), 1, chars).alias("t")).orderBy("k", "t").limit(docs_read)
     words = F.filter(F.split("t", r"[^\p{L}]+"), lambda w: w.rlike("^[A-Za-z]{3,}$"))
     listed = drawn.select(words.alias("w"))
     joined = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size("w") / 3).cast("int"), F.lit(1))), lambda i: F.concat_ws("", F.slice("w", i * 3 - 2, 3)))

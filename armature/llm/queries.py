@@ -110,7 +110,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 9 n-gram Jaccard join ----
 
 
-@query("op9_jaccard_join")
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM w),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM k JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * common >= 75 * (len(x.g) + len(y.g) - common)),
+n AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, n.b FROM r JOIN n ON r.o = n.a)
+SELECT s.doc_id, CAST(len(any_value(s.g)) AS BIGINT) AS n_shingles, min(r.o) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+"""
+
+
+@query("op9_jaccard_join", OP9_SQL)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")

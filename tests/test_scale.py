@@ -70,6 +70,31 @@ def test_local_folders_are_refused_on_a_cluster():
     assert shared_dir(Session("hdfs://host/x")) == "hdfs://host/x"
 
 
+def _on_a_cluster(spark, conf, writes=lambda path: path):
+    """A session that takes itself for one on a cluster; `writes` says where its executors' files end up."""
+
+    class Writer:
+        def __init__(self, df):
+            self.write, self.df = self, df
+
+        def parquet(self, path):
+            self.df.write.parquet(writes(path))
+
+    context = type("Context", (), {"master": "spark://host:7077", "applicationId": str(conf), "defaultParallelism": 2, "getConf": lambda _: {}, "getCheckpointDir": lambda _: None})()
+    return type("Session", (), {"conf": conf, "sparkContext": context, "read": spark.read, "range": lambda _, *a: Writer(spark.range(*a))})()
+
+
+def test_a_path_that_all_executors_see_is_taken_on_a_cluster(spark, tmp_path):
+    for named in (f"{tmp_path}/a", f"file://{tmp_path}/b"):
+        assert shared_dir(_on_a_cluster(spark, {"spark.checkpoint.dir": named})) == named
+    assert shared_dir(_on_a_cluster(spark, {"spark.sql.warehouse.dir": f"{tmp_path}/w"})) == f"{tmp_path}/w/armature-work"
+
+
+def test_a_path_that_executors_write_elsewhere_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        shared_dir(_on_a_cluster(spark, {"spark.checkpoint.dir": f"{tmp_path}/a"}, writes=lambda path: f"{path}-elsewhere"))
+
+
 def test_workers_get_the_package(tmp_path):
     """Python workers find the package though it is installed nowhere and the session starts elsewhere."""
     code = f"""

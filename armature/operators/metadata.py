@@ -27,6 +27,14 @@ from armature.schema import (
 VARIANTS = "map<string,variant>"
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The documents dealt evenly to some tasks for each core.
+
+    A document takes some thousand times as long to patch as to read, and very many fit in one partition of a file.
+    """
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _object(v: Column) -> Column:
     """Fields of a JSON object; null for other values."""
     return F.try_variant_get(v, "$", VARIANTS)
@@ -97,7 +105,7 @@ def patch_info(docs: DataFrame, doc: str = "info", keys: Sequence[str] = ("datas
         return F.struct(v["key"], F.map_concat(kept, F.create_map(F.lit("info"), F.to_variant_object(info))))
 
     is_video = lambda e: yes(_text(_field(e["value"], "dtype")) == "video")
-    parsed = docs.withColumn("_top", _object(F.parse_json(F.col(doc))))
+    parsed = _dealt(docs).withColumn("_top", _object(F.parse_json(F.col(doc))))
     features = F.transform_values(_object(_field(t, "features")), lambda _, v: _object(v))
     listed = parsed.withColumn("_features", F.coalesce(features, no_features)).withColumn(
         "_videos", F.transform(F.filter(F.map_entries("_features"), is_video), video)
@@ -206,7 +214,7 @@ def set_episode_paths(docs: DataFrame, doc: str = "info") -> DataFrame:
 def set_codec(docs: DataFrame, codec: str = "h264", doc: str = "info") -> DataFrame:
     """Set the codec of video features that have an info object; others are left alone."""
     features = F.transform_values(_object(_field(F.col("_top"), "features")), lambda _, v: _object(v))
-    rows = docs.withColumn("_top", _object(F.parse_json(F.col(doc)))).withColumn("_features", features)
+    rows = _dealt(docs).withColumn("_top", _object(F.parse_json(F.col(doc)))).withColumn("_features", features)
 
     def coded(f: Column) -> Column:
         info = _object(_field(f, "info"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from armature.catalog import QUERIES
 from armature.operators import episodes as W
 from armature.operators import merge as M
 from armature.operators import metadata as D
@@ -45,6 +46,23 @@ def patch(spark, doc, **kw):
     return json.loads(row.info), {(c.field, c.old, c.new) for c in row.changes}
 
 
+def test_documents_of_one_partition_are_dealt_to_many_tasks(spark):
+    rows = [(i, json.dumps(V3_INFO)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "dataset long, info string").coalesce(1)
+    for done in (D.patch_info(docs), D.set_episode_paths(D.set_codec(docs))):
+        sizes = done.select("dataset", "info").rdd.glom().map(len).collect()
+        assert sum(sizes) == 200 and max(sizes) < 50
+
+
+def test_the_log_of_changes_is_made_once(spark, tmp_path, capsys):
+    spark.range(1, 31).selectExpr("id AS p_partkey", "int(id) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    log = QUERIES["patch_info_log"](spark, str(tmp_path))
+    log.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Filter ") == 1 and plan.index("Filter ") < plan.index("Generate")
+    assert log.filter("field = 'total_videos'").count() == 24 and log.filter("field is null").count() == 0
+
+
 def test_patch_changes_what_it_should_and_keeps_the_rest(spark):
     got, log = patch(spark, V3_INFO)
     assert got["codebase_version"] == "v2.1" and got["video_path"] == CHUNK_FIRST_PATH

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import oracle
@@ -291,6 +292,32 @@ def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0 and jaccard_join.one_of_each(docs).count() == 3
 
 
+def test_signatures_of_a_block_are_unpacked_in_parts():
+    """Those that several classes have, and no more memory than a part of the block takes."""
+    rng = np.random.default_rng(11)
+    n, parts = 400_000, []
+    for _ in range(4):
+        names = np.unique(rng.integers(1, 1 << 62, 1000))
+        sig, who, own = rng.integers(0, 1 << 19, n // 4) << 20, rng.integers(0, len(names), n // 4).astype("<u2"), rng.integers(0, 8, n // 4) == 0
+        high = (sig >> 32).astype(np.uint8) | own.astype(np.uint8) << 7
+        parts.append(((sig & 0xFFFFFFFF).astype("<u4"), high, who, names, rng.integers(1, 99, (len(names), 2)).astype("<u2")))
+    tracemalloc.start()
+    got, largest = [], 0
+    for x in jaccard_join._met(parts):
+        got.append(x)
+        largest = max(largest, len(x[0]))
+    held = sum(a.nbytes for x in got for a in x)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    want = {}
+    for low, high, who, names, need in parts:
+        for s, h, w in zip(low.tolist(), high.tolist(), who.tolist(), strict=True):
+            want.setdefault(s | (h & 127) << 32, set()).add((int(names[w]), h >> 7, int(need[w, h >> 7])))
+    want = {s for s, x in want.items() if len({k for k, _, _ in x}) > 1 and any(o for _, o, _ in x)}
+    assert {int(s) for x in got for s in x[0]} == want and largest < n // 4
+    assert peak < 20 * n  # at once they would take some 60 bytes each
+
+
 def test_linked_sets_share_a_signature():
     """Sets at the very threshold, in one band and in neighbouring ones."""
     rng = np.random.default_rng(10)

@@ -3,12 +3,14 @@
 import os
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from armature.operators import episodes, quality, sampling
+from armature.plans.lookups import TIDY, settled
 from armature.session import shared_dir
 from armature.sources import scan
 
@@ -111,3 +113,22 @@ print("ROWS", queries["ema"](spark, "/root/testdata/sf0.001").count(), queries["
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     line = [x for x in out.stdout.splitlines() if x.startswith("ROWS")]
     assert line and all(int(n) > 0 for n in line[0].split()[1:]), out.stderr[-2000:]
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    """The files that an execution has shuffled go when its result is written, and the setting is as it was."""
+    folders = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(TIDY, None)
+    groups = spark.range(100_000).groupBy((F.col("id") % 997).alias("k")).count()
+    table = settled(groups)
+    for _ in range(50):  # executors remove them a little later
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(TIDY, None) == setting
+    assert table.agg(F.sum("count"), F.count("*")).first() == (100_000, 997)
+    assert groups.agg(F.sum("count")).first()[0] == 100_000

@@ -377,3 +377,21 @@ def test_pipeline(spark):
     assert max(copies.values()) <= 3
     out = corpus_pipeline.run(spark, SF_DIR).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in seen["mixing"])
+
+
+def test_members_of_large_families_meet_near_sizes_only(spark, monkeypatch):
+    """Sets of far sizes are not sent to each other; links at the very threshold are found, in one component or several."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(100 * k + i, " ".join(words[: n - i % 2 * (n // 9)] + [f"x{k}"])) for k, n in enumerate((40, 160, 640, 2560)) for i in range(9)]
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t in rows}
+    values = {x: i for i, x in enumerate(sorted(set().union(*sets.values())))}
+    members = [(1, len(rows), d, np.array(sorted(values[x] for x in s), "<u8").tobytes()) for d, s in sets.items()]
+    sent = []
+    kept = jaccard_join.settled
+    monkeypatch.setattr(jaccard_join, "settled", lambda df, label: (sent.append(kept(df, label)), sent[-1])[1] if label == "jaccard-reach" else kept(df, label))
+    df = spark.createDataFrame(members, "family long, n long, class long, set binary")
+    got = {r["node"]: r["root"] for r in jaccard_join._large_families(df, 75, 3, 2).collect()}
+    linked_ = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked_ and all(got[a] == got[b] for a, b in linked_)
+    assert len({got.get(d, d) for d in sets}) == 4
+    assert all(r["last_part"] - r["first_part"] < 5 for r in sent[0].collect())  # of 12 parts

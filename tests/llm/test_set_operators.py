@@ -395,3 +395,22 @@ def test_members_of_large_families_meet_near_sizes_only(spark, monkeypatch):
     assert linked_ and all(got[a] == got[b] for a, b in linked_)
     assert len({got.get(d, d) for d in sets}) == 4
     assert all(r["last_part"] - r["first_part"] < 5 for r in sent[0].collect())  # of 12 parts
+
+
+def test_classes_that_share_too_few_signatures_are_no_family(spark):
+    """Each of a chain shares as many signatures as a link needs, but fewer with any one other; the last two share enough."""
+    rows = [(s, c, True, 2) for s in range(1, 30) for c in (s, s + 1)] + [(99, 30, True, 2), (99, 31, True, 2), (98, 30, True, 2), (98, 31, True, 2)]
+    shared = spark.createDataFrame(rows, "signature long, class long, own boolean, need int")
+    assert [tuple(r) for r in jaccard_join._families(shared).collect()] == [(30, 31)]
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 5, 64])
+def test_linked_classes_are_in_one_family(spark, crowd):
+    rows = [r for r in near_copies() if r[1]]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = jaccard_join._shared(jaccard_join._blocks(texts, 3, 5, 75), 3)
+    family = {r["node"]: r["root"] for r in components(jaccard_join._families(shared, crowd=crowd)).collect()}
+    name = {r["doc_id"]: r["class"] for r in jaccard_join.classes(texts).collect()}
+    sets = word_sets(rows)
+    links = [(name[a[0]], name[b[0]]) for (a, x), (b, y) in itertools.combinations(zip(rows, sets, strict=True), 2) if x != y and 100 * len(x & y) >= 75 * len(x | y)]
+    assert len(links) > 50 and all(family[a] == family[b] for a, b in links)

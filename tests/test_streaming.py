@@ -1,6 +1,8 @@
 """Several micro-batches give what one batch over all rows gives."""
 
+import collections
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -195,3 +197,89 @@ def test_pairs_of_one_robot_and_joint_spread_over_keys(spark, tolerance, us):
     assert got == sorted((a, b) for a in at[0] for b in at[1] if abs(a - b) <= us)
     plan = S.pair_by_time(*sides, tolerance)._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in plan and "_near" in plan
+
+
+class Memory:
+    """Handle, states and timers of a stateful processor, kept as the state store does, outside of the processor."""
+
+    def __init__(self, watermark=0):
+        self.maps, self.values, self.watermark = {}, {}, watermark
+
+    def getMapState(self, name, key, value):
+        rows = self.maps.setdefault(name, {})
+        return SimpleNamespace(updateValue=rows.__setitem__, getValue=rows.__getitem__, removeKey=rows.pop)
+
+    def getValueState(self, name, schema):
+        rows = self.values
+        return SimpleNamespace(exists=lambda: name in rows, get=lambda: rows[name], update=lambda v: rows.__setitem__(name, v), clear=lambda: rows.pop(name))
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class Collects(S.InOrder):
+    row = "order_ts long, order_id long, key string"
+    kept = "last string"
+
+    def take(self, key, rows):
+        yield rows
+
+
+def frames(rows, piece):
+    for i in range(0, len(rows), piece):
+        yield pd.DataFrame(rows[i : i + piece], columns=["order_ts", "order_id", "key"])
+
+
+@pytest.mark.parametrize("run, page, fan", [(65_536, 4096, 256), (50, 7, 256), (50, 7, 3), (10, 1, 2)])
+def test_rows_that_wait_come_in_order_and_once(monkeypatch, run, page, fan):
+    for name, value in (("RUN", run), ("PAGE", page), ("FAN", fan)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(int(t), int(i), str(n)) for n, (t, i) in enumerate(zip(rng.integers(0, 400, 900) * 500, rng.integers(0, 5, 900), strict=True))]
+    memory = Memory()
+    told = Collects()
+    told.init(memory)
+    got, left = [], list(rows)
+    for turn, watermark in enumerate((0, 40, 40, 90, 1000)):
+        memory.watermark = watermark
+        some, left = (left[:300], left[300:]) if turn else (left[:0], left)
+        out = [r for f in told.handleInputRows(("r",), frames(some, 40), memory) for r in f.itertuples(index=False, name=None)]
+        assert all(r[0] < watermark * 1000 for r in out)
+        assert out == sorted(out, key=lambda r: r[:2])
+        got.append(out)
+    seen = [r for out in got for r in out]
+    assert collections.Counter(seen) == collections.Counter(rows) and not memory.maps["waiting"] and "listed" not in memory.values
+    # Rows of one time and id that come at once keep their order.
+    assert got[1] == sorted((r for r in rows[:300] if r[0] < 40_000), key=lambda r: r[:2])
+
+
+def test_rows_without_a_time_wait_to_the_end():
+    memory = Memory(10)
+    told = Collects()
+    told.init(memory)
+    out = list(told.handleInputRows(("r",), iter([pd.DataFrame({"order_ts": [None, 5000.0], "order_id": [1, 2], "key": [None, "B"]})]), memory))
+    assert [tuple(r) for f in out for r in f.itertuples(index=False)] == [(5000, 2, "B")] and len(memory.maps["waiting"]) == 1
+
+
+def test_memory_does_not_follow_the_rows_of_a_key():
+    """One robot's rows come at once in any order; they are neither held nor given as a whole."""
+    memory, n = Memory(), 400_000
+    told = Collects()
+    told.init(memory)
+    at = np.random.default_rng(1).permutation(n)
+
+    def sent():
+        for i in range(0, n, 10_000):
+            yield pd.DataFrame({"order_ts": at[i : i + 10_000], "order_id": at[i : i + 10_000], "key": [f"key {v}" for v in at[i : i + 10_000]]})
+
+    assert list(told.handleInputRows(("r",), sent(), memory)) == []
+    memory.watermark, tops, total = n, [], 0
+    stored = sum(len(v[0]) for v in memory.maps["waiting"].values())
+    for f in told.handleExpiredTimer(("r",), memory, None):
+        assert (np.diff(f["order_ts"]) > 0).all()
+        tops.append(len(f))
+        total += len(f)
+    assert total == n and max(tops) < 140_000 and stored > 10_000_000

@@ -12,16 +12,20 @@ that could be among the k nearest is left out, and no row lists more than one no
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from armature.functions import poses as P
 from armature.functions import vectors as V
 from armature.functions.draws import Draw, keyed
 from armature.plans.blocks import position, rank_buckets
-from armature.plans.lookups import lookup_join, settled
+from armature.plans.lookups import HOT_KEYS, lookup_join, settled
 
 PACKED = 2048
 #: Segments of a tile, children of a node, and nodes of a level that are broadcast.
@@ -220,12 +224,19 @@ def _from_tree(asked: DataFrame, levels: list[DataFrame], on: str, k: int, weigh
         bounds = F.transform("_children", lambda c: F.struct(middle(c).alias("m"), c["_node"].alias("_node"), least(c).alias("d")))
         return joined.withColumn("_near", bounds).drop("_children", "_node")
 
-    members = levels[0].select(on, F.col("_node").alias("_tile"), "_members")
+    members = levels[0].select(on, F.col("_node").alias("_tile"), F.inline("_members"))
     asked = asked.withColumn("_unit", F.coalesce(_is_unit(quat), F.lit(False)))
     nearest = asked.withColumn("_node", F.lit(0).cast("long"))
     for level in reversed(levels[1:]):
         nearest = settled(down(nearest, level).withColumn("_node", F.array_min("_near")["_node"]).drop("_near"), "nearest-nodes")
-    first = _rank(_with_members(nearest.withColumnRenamed("_node", "_tile"), members, on), k, weights)
+    window = Window.partitionBy("_scene", on).orderBy("_found")
+
+    def ranked(visits: DataFrame) -> DataFrame:
+        near = _near_members(visits.select("_scene", on, "_at", F.col("_node").alias("_tile"), "_reach"), members, on, k, weights)
+        found = F.struct(P.pose_distance("_pose", "_at", *weights).alias("distance"), "_id").alias("_found")
+        return near.select("_scene", on, found).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+    first = ranked(nearest.withColumn("_reach", F.lit(None).cast("double")))
     reached = first.groupBy("_scene", on).agg(F.max(F.when(F.col("rank") == k, F.col("_found.distance"))).alias("_reach"))
     visits = asked.join(reached, ["_scene", on], "left").withColumn("_node", F.lit(0).cast("long"))
     for level in reversed(levels[1:]):
@@ -233,10 +244,77 @@ def _from_tree(asked: DataFrame, levels: list[DataFrame], on: str, k: int, weigh
         visits = settled(down(visits, level).withColumn("_hit", F.explode(inside)).withColumn("_node", F.col("_hit._node")).drop("_near", "_hit"), "visited-nodes")
     if stats is not None:
         stats.append(visits.count())
-    ranked = _rank(_with_members(visits.select("_scene", on, "_at", F.col("_node").alias("_tile")), members, on), k, weights)
-    window = Window.partitionBy("_scene", on).orderBy("_found")
-    return ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return ranked(visits)
+
+
+#: Visits of a tile that a task ranks; scenes that meet a tile at once.
+VISITS, AT_ONCE = 100_000, 1024
+
 
+def _poses(column: pa.ChunkedArray) -> np.ndarray:
+    """Poses as rows of seven numbers, NaN where one is missing."""
+    array = column.combine_chunks()
+    if array.null_count == 0 and pc.all(pc.equal(pc.list_value_length(array), 7)).as_py():
+        return array.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 7)
+    rows = [list(p or [])[:7] for p in array.to_pylist()]
+    return np.array([[*p, *[None] * (7 - len(p))] for p in rows], dtype=float).reshape(-1, 7)
 
-def _with_members(df: DataFrame, members: DataFrame, on: str) -> DataFrame:
-    return lookup_join(df, members, [on, "_tile"], "inner", spread=["_scene"], rows=64).drop("_tile")
+
+def nearest_of(at: np.ndarray, reach: np.ndarray, poses: np.ndarray, k: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of scene and member that may be among the k nearest of the members and within reach, with some slack for rounding.
+
+    What can't be measured here always may.
+    """
+    gap = np.sqrt(sum((at[:, None, i] - poses[None, :, i]) ** 2 for i in range(3)))
+    turn = 2.0 * np.arccos(np.fmin(1.0, np.abs(at[:, 3:] @ poses[:, 3:].T)))
+    distance = weights[0] * gap + weights[1] * turn
+    odd = ~np.isfinite(distance)
+    distance[odd] = np.inf
+    most = np.partition(distance, k - 1, axis=1)[:, k - 1] if distance.shape[1] > k else np.full(len(at), np.inf)
+    most = np.fmin(most, reach)
+    return np.nonzero((distance <= (most + 1e-6 * abs(weights[1]) + 1e-9 * (1 + np.abs(most)))[:, None]) | odd)
+
+
+def _near_members(visits: DataFrame, members: DataFrame, on: str, k: int, weights: tuple[float, float]) -> DataFrame:
+    """Rows (scene, object, its pose, pose and id of a member) of the members of visited tiles that may be among the k nearest.
+
+    A tile meets its scenes in one place, so neither is repeated for the other; one with very many visits is copied to several tasks.
+    """
+    share = max(VISITS, visits.count() // HOT_KEYS)
+    owned = visits.groupBy(on, "_tile").agg(F.count(F.lit(1)).alias("_owned")).filter(F.col("_owned") > share)
+    hot = settled(owned.select(on, "_tile", F.ceil(F.col("_owned") / share).cast("int").alias("_copies")), "hot-tiles")
+    copies = F.coalesce(F.col("_copies"), F.lit(1))
+    key = [on, "_tile", "_salt"]
+    asking = visits.join(F.broadcast(hot), [on, "_tile"], "left").withColumn("_salt", F.pmod(F.xxhash64("_scene", "_at"), copies).cast("int"))
+    held = members.join(F.broadcast(hot), [on, "_tile"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    both = asking.withColumn("_asks", F.lit(True)).drop("_copies").unionByName(held.withColumn("_asks", F.lit(False)).drop("_copies"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, some, poses = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = list(zip(*[table[c].to_pylist() for c in [*key, "_asks"]], strict=True))
+            edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = table.slice(a, b - a)
+                if names[a][:3] != now:
+                    now, some, poses = names[a][:3], [], None
+                if not names[a][3]:
+                    some.append(part.select(["_pose", "_id"]))
+                    continue
+                if not some:
+                    continue
+                if poses is None:
+                    some = [pa.concat_tables(some).combine_chunks()]
+                    poses = _poses(some[0]["_pose"])
+                for first in range(0, len(part), AT_ONCE):
+                    asks = part.slice(first, AT_ONCE)
+                    reach = asks["_reach"].to_numpy()
+                    who, which = nearest_of(_poses(asks["_at"]), np.where(np.isnan(reach.astype(float)), np.inf, reach), poses, k, weights)
+                    left, right = asks.select(["_scene", on, "_at"]).take(pa.array(who)), some[0].take(pa.array(which))
+                    found = pa.Table.from_arrays([*left.columns, *right.columns], names=[*left.column_names, *right.column_names])
+                    yield from found.combine_chunks().to_batches()
+
+    rows = both.filter(F.col(on).isNotNull()).repartition(*key).sortWithinPartitions(*key, "_asks")
+    schema = T.StructType([rows.schema[c] for c in ("_scene", on, "_at", "_pose", "_id")])
+    return rows.mapInArrow(run, schema)

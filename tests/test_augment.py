@@ -74,6 +74,25 @@ def test_nearest_segments_match_brute_force(spark, weights, packed):
     assert got == brute(scenes, segs, 5, weights)
 
 
+def test_members_of_a_tile_are_measured_once_for_all_its_scenes(spark, monkeypatch):
+    """Only members that may be near go on, from several copies of a tile too; poses that can't be measured rank as in one row."""
+    monkeypatch.setattr(N, "VISITS", 7)
+    scene_poses, seg_poses = random_poses(40, 1), random_poses(400, 2)
+    s = [(i if i != 5 else None, "cup", p.tolist()) for i, p in enumerate(scene_poses)] + [(99, "cup", [None] * 7), (98, None, scene_poses[0].tolist())]
+    g = [(i, "cup", p.tolist()) for i, p in enumerate(seg_poses)] + [(900, "cup", [None] * 7), (901, None, seg_poses[0].tolist())]
+    scenes = spark.createDataFrame(s, f"scene long, object_ref string, object_pose {POSE}")
+    segs = spark.createDataFrame(g, f"segment long, object_ref string, object_pose {POSE}")
+    got, seen = {}, []
+    kept = N._near_members
+    monkeypatch.setattr(N, "_near_members", lambda *a: (seen.append((a[0].count(), kept(*a))), seen[-1][1])[1])
+    for packed in (4, 4096):
+        rows = N.nearest_segments(scenes, segs, 5, packed=packed).collect()
+        got[packed] = sorted(((r.scene if r.scene is not None else -1, r.segment, r["rank"], r.distance or -1) for r in rows))
+    assert got[4] == got[4096] and len(got[4]) == 41 * 5
+    measured = [df.filter("_scene < 90").count() for _, df in seen]
+    assert all(n < 25 * visits for (visits, _), n in zip(seen, measured, strict=True))  # of up to 256 members each
+
+
 def test_fewer_segments_than_k(spark):
     s = spark.createDataFrame([(0, "cup", random_poses(1, 1)[0].tolist())], f"scene long, object_ref string, object_pose {POSE}")
     g = spark.createDataFrame([(i, "cup", p.tolist()) for i, p in enumerate(random_poses(3, 2))], f"segment long, object_ref string, object_pose {POSE}")
